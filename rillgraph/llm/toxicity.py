@@ -159,6 +159,21 @@ def toxicity(documents: DataFrame, labels: DataFrame, s: Settings = Settings())
     return out.mapInArrow(run, T.StructType([*kept.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("toxic", T.BooleanType())]))
 
 
+def without_toxic(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """documents without the toxic ones, its columns unchanged."""
+    model = documents.sparkSession.sparkContext.broadcast(train(documents, labels, s))
+    at = documents.columns.index("text")
+
+    def run(batches):
+        i, w = model.value
+        table = np.zeros(2**BITS + 1)
+        table[i] = w
+        for b in batches:
+            yield b.filter(pa.array(score(*C.text_buffer(b.column(at)), table) < s.threshold)) if len(i) else b
+
+    return C.arrow(documents).mapInArrow(run, documents.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
