@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, sentencepiece_codec, simhash, token_counts, toxicity, url_filter, warc
+from . import decontaminate, exact_dedup, language_id, pii, sentencepiece_codec, simhash, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_pii": pii.op2_pii,
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
