@@ -1,0 +1,73 @@
+import itertools
+
+import numpy as np
+from rillgraph.llm import pii as Q
+
+
+def test_held_out_documents():
+    """Entities of generated documents that were not fitted on."""
+    m, s = Q.fitted(), Q.Settings()
+    docs, labels = Q.generated(300, 99)
+    want, got = set(), set()
+    for k, (tokens, y) in enumerate(zip(docs, labels)):
+        at = 0
+        for t, v in zip(tokens, y):
+            if v:
+                want |= {(k, at + i, Q.LABELS[v]) for i in range(*Q.bare(t))}
+            at += len(t) + 1
+        for label, a, b in Q.found([" ".join(tokens)], m, m.powers(), s)[0]:
+            got |= {(k, i, label) for i in range(a, b)}
+        got = {x for x in got if x[0] != k or " ".join(tokens)[x[1]] != " "}
+    assert len(want & got) / len(want) >= 0.95 and len(want & got) / len(got) >= 0.95
+
+
+def test_messages_are_exact_on_a_chain():
+    """Without skips sum-product gives the marginals of all labellings; plain tokens are summed out."""
+    m = Q.fitted()
+    tokens = "call 4111 words between 10.0.0.1".split()
+    g = Q.Graph([tokens])
+    assert not len(g.same) and not len(g.alike)
+    got = Q.marginals(g, m, m.powers())
+    full = Q.Graph([tokens], every=True)
+    u = full.unary(m.weights)
+    out = np.zeros((len(tokens), Q.K))
+    for y in itertools.product(range(Q.K), repeat=len(tokens)):
+        p = np.exp(sum(u[i, v] for i, v in enumerate(y)) + sum(m.chain[a, b] for a, b in zip(y, y[1:])))
+        for i, v in enumerate(y):
+            out[i, v] += p
+    out /= out.sum(axis=1, keepdims=True)
+    assert np.allclose(got, out[[i for _, i in g.at]], atol=1e-3)
+
+
+def test_repeated_tokens_agree():
+    """Evidence at one place settles the label at another."""
+    m = Q.fitted()
+    assert m.same > 0 and m.alike >= 0
+    value = "q7f3k9w2"
+    alone = Q.found([f"see {value} there"], m, m.powers())[0]
+    both = Q.found([f"see {value} there. password: {value} and then password: {value}"], m, m.powers())[0]
+    assert len(both) >= 2 and len({x[0] for x in both}) == 1 and len(both) >= len(alone)
+
+
+def test_kinds_and_clean_text(docs):
+    text = "Mail ann.lee@site.org or call +44 (020) 555-0199, card 4111111111111111, host 10.1.2.3; password=hunter2secret9. Version 1.2.3 of 2024-01-02 costs $12.50."
+    x = Q.scrub(docs([text, "Nothing private here, in 12 words or 3,000."])).orderBy("doc_id").collect()
+    assert [e.label for e in x[0].entities] == ["EMAIL", "PHONE", "CARD", "IP", "SECRET"]
+    assert x[0].redacted.startswith("Mail [EMAIL] or call [PHONE], card [CARD], host [IP];") and x[0].redacted.endswith("Version 1.2.3 of 2024-01-02 costs $12.50.")
+    assert x[1].n_entities == 0 and x[1].redacted == "Nothing private here, in 12 words or 3,000."
+
+
+def test_offsets_and_odd(odd):
+    got = Q.scrub(odd).collect()
+    assert len(got) == odd.count()
+    assert all(x.n_entities == 0 for x in got) and {x.redacted for x in got if x.doc_id == 1} == {None} and {x.redacted for x in got if x.doc_id == 2} == {""}
+
+
+def test_long_text_with_many_values(docs):
+    text = "a b c " * 20_000 + "mail x.y@site.org " * 200
+    x = Q.scrub(docs([text])).first()
+    assert x.n_entities == 200 and all(text[e.start : e.end] == "x.y@site.org" for e in x.entities)
+
+
+def test_empty(empty):
+    assert Q.scrub(empty).count() == 0
