@@ -55,7 +55,13 @@ def row_key() -> F.Column:
 
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """docs without the rows whose row_key is in keys(_key)."""
-    return docs.withColumn("_key", row_key()).join(checked_broadcast(keys, 40), "_key", "left_anti").drop("_key").select(*docs.columns)
+    at = fresh(docs)
+    return docs.withColumn(at, row_key()).join(checked_broadcast(keys.select(F.col("_key").alias(at)), 40), at, "left_anti").drop(at)
+
+
+def fresh(df: DataFrame) -> str:
+    """A column name that df doesn't have."""
+    return "_" * (1 + max((len(c) for c in df.columns), default=0))
 
 
 def text_buffer(arr: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

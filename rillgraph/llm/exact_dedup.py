@@ -46,9 +46,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     twice = C.saved(rows.filter("doc_id <=> keep_id").groupBy("_key").count().filter("count > 1").select("_key"))
     if twice.isEmpty():
         return kept
-    both = kept.withColumn("_key", C.row_key())
-    again = both.join(C.checked_broadcast(twice, 40), "_key", "left_semi")
-    return C.without(kept, twice).unionByName(again.dropDuplicates(["_key"]).select(*docs.columns))
+    at = C.fresh(docs)
+    again = kept.withColumn(at, C.row_key()).join(C.checked_broadcast(twice.select(F.col("_key").alias(at)), 40), at, "left_semi")
+    return C.without(kept, twice).unionByName(again.dropDuplicates([at]).drop(at))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
