@@ -1,0 +1 @@
+"""Named queries: importing this package registers those of both modules."""
