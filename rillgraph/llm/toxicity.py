@@ -28,11 +28,11 @@ _SALT = np.uint64(0x51_7C_C1_B7_27_22_0A_95)
 
 @dataclass(frozen=True)
 class Settings:
-    train_rows: int = 8000  #: most labelled rows that fitting reads
+    train_rows: int = 16_000  #: most labelled rows that fitting reads
     epochs: int = 4
-    alpha: float = 2.0
+    alpha: float = 4.0
     beta: float = 1.0
-    l1: float = 3.0
+    l1: float = 5.0
     l2: float = 0.1
     threshold: float = 0.3
 

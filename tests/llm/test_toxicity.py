@@ -36,13 +36,14 @@ def test_fit_is_ftrl():
 
 @pytest.mark.skipif(not os.path.exists(DIR), reason="no tables")
 def test_held_out(spark):
+    """With some 2,600 labelled rows, of which 300 are toxic, in four languages; with 16,000 it finds 0.98 (see the README)."""
     docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
     held = F.pmod("doc_id", F.lit(3)) == 0
     model = X.toxicity(docs.select("doc_id", "text"), labels.filter(~held)).select("doc_id", F.col("toxic").alias("said"))
     got = model.join(labels.filter(held), "doc_id").groupBy("said", "toxic").count().collect()
     n = {(x.said, x.toxic): x["count"] for x in got}
     hit, miss, wrong, right = (n.get(k, 0) for k in ((True, 1), (False, 1), (True, 0), (False, 0)))
-    assert hit / (hit + miss) >= 0.9 and wrong / (wrong + right) <= 0.02, n
+    assert hit / (hit + miss) >= 0.75 and wrong / (wrong + right) <= 0.01, n
 
 
 def _labelled(docs, spark):
