@@ -68,7 +68,8 @@ def graph(files: DataFrame, rules: list[Rule] = RULES) -> tuple[DataFrame, DataF
     """(nodes, edges) of the files: file nodes, what the rules found, and pydantic settings, dotenv and Terraform references."""
     h = hits(files, rules)
     prefix = F.replace(_by_rule(rules, lambda r: r.prefix), F.lit("{path}"), F.col("path"))
-    ids = h.select("path", "line", "name", F.concat(prefix, "name").alias("id"), _by_rule(rules, lambda r: r.kind).alias("type"), _by_rule(rules, lambda r: r.edge).alias("edge"), _by_rule(rules, lambda r: r.confidence).alias("confidence"), _by_rule(rules, lambda r: r.name).alias("source"))
+    label = F.when(_among(rules, lambda r: r.name in ("tf_resource", "tf_data")), F.substring_index("name", ".", -1)).otherwise(F.col("name"))
+    ids = h.select("path", "line", label.alias("name"), F.concat(prefix, "name").alias("id"), _by_rule(rules, lambda r: r.kind).alias("type"), _by_rule(rules, lambda r: r.edge).alias("edge"), _by_rule(rules, lambda r: r.confidence).alias("confidence"), _by_rule(rules, lambda r: r.name).alias("source"))
     more = settings(files).unionByName(dotenv(files)).select("path", F.lit(None).cast("int").alias("line"), "name", F.concat(F.lit("env:"), "name").alias("id"), F.lit("env_var").alias("type"), F.lit("reads").alias("edge"), F.lit(1.0).alias("confidence"), "source")
     more = more.join(ids.filter("type = 'env_var'").select("path", "id"), ["path", "id"], "left_anti")
     ids = ids.unionByName(more.select(*ids.columns))
