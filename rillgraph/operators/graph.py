@@ -34,9 +34,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast where a checkpointed df is counted small."""
-    return F.broadcast(df) if df.count() <= rows else df
+SMALL = 100_000
+
+
+def counted(df: DataFrame, rows: int, most: int = SMALL) -> DataFrame:
+    """Hint a broadcast where df has few rows."""
+    return F.broadcast(df) if rows <= most else df
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """The same for a checkpointed df whose rows aren't known yet."""
+    return counted(df, df.count(), most)
 
 
 def impact_edges(edges: DataFrame, policy: str = "core", upstream: bool = False) -> DataFrame:
@@ -62,12 +70,13 @@ def closure(pairs: DataFrame, seeds: DataFrame, max_depth: int = -1, include_sta
     pairs = saved(pairs.select("u", "v").repartition("u"))
     start = seeds.select("seed").filter("seed is not null").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
     frontier = seen = saved(start)
-    levels, depth = [seen], 0
-    while max_depth < 0 or depth < max_depth:
+    levels, depth, rows = [seen], 0, seen.count()
+    while rows and (max_depth < 0 or depth < max_depth):
         depth += 1
-        step = small(frontier).join(pairs, F.col("node") == F.col("u")).select("seed", F.col("v").alias("node")).distinct()
+        step = counted(frontier, rows).join(pairs, F.col("node") == F.col("u")).select("seed", F.col("v").alias("node")).distinct()
         frontier = saved(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        rows = frontier.count()
+        if not rows:
             break
         levels.append(frontier)
         seen = functools.reduce(DataFrame.unionByName, levels)
