@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Two scans of the corpus and no join: the first counts in how many documents each seed (run of ``n`` words of an item)
-occurs, the second aligns every place where a rare seed of an item occurs. A seed is rare for an item if it is in at most
-``share`` of all documents beyond twice the documents of the item's least frequent seed; so each item keeps its rarest
-seeds however often it was copied. The items are broadcast in parts of at most ``part_bytes`` of text, one pair of scans
-each. An alignment counts +2 for equal words, -1 for others and for gaps; the score is its share of a whole match.
+One scan of the corpus and no join: every place where a seed (run of ``n`` words) of an item occurs is a passage, however
+many documents have that seed. An alignment counts +2 for equal words, -1 for others and for gaps; the score is its share
+of a whole match. No score is above the share of the item's words that the passage has at all, so passages where that
+share is under the threshold aren't aligned; nothing is lost by it. The items are broadcast in parts of at most
+``part_bytes`` of text, one scan each.
 
 Defined results: null and wordless texts match nothing, on either side; items of fewer than ``n`` words have no seed and
 match nothing; equal items with different ids each match; each of several equal rows is judged alike; ids may be null;
@@ -25,10 +25,14 @@ from pyspark.sql import types as T
 from . import common as C
 
 
+def _of_item(h: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """A hash of a word and the item it is looked for in."""
+    return C.mix(h + (item.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
 @dataclass(frozen=True)
 class Settings:
     n: int = 3
-    share: float = 0.0005  #: of the documents
     threshold: float = 0.5
     part_bytes: int = 32_000_000
 
@@ -44,23 +48,17 @@ class Items:
             seeds.append(s)
             item.append(np.full(len(s), k))
             at.append(first)
-        self.set(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (seeds, item, at)))
-
-    def set(self, seeds, item, at) -> None:
+        seeds, item, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (seeds, item, at))
         order = np.argsort(seeds.astype(np.uint64), kind="stable")
         self.seed, self.item, self.at = seeds.astype(np.uint64)[order], item[order], at[order]
         self.distinct, self.first = np.unique(self.seed, return_index=True)
         self.count = np.diff(np.append(self.first, len(self.seed)))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.seed >> np.uint64(44)).astype(np.int64)] = True
-
-    def keep_rare(self, df: np.ndarray, documents: int, share: float) -> None:
-        """df: documents by distinct seed."""
-        own = df[np.searchsorted(self.distinct, self.seed)]
-        least = np.full(len(self.words), np.iinfo(np.int64).max)
-        np.minimum.at(least, self.item, own)
-        rare = own - 2 * least[self.item] <= share * documents
-        self.set(self.seed[rare], self.item[rare], self.at[rare])
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        own = _of_item(np.concatenate([*self.words, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(self.words)), self.size))
+        #: each item's distinct words and how often it has them
+        self.own, self.times = np.unique(own, return_counts=True)
 
     def found(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words at which a seed begins, and the seed's index in distinct."""
@@ -72,11 +70,34 @@ class Items:
         hit = self.distinct[k] == s[could]
         return first[could[hit]], k[hit]
 
-    def matches(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, item, score) of every document and item that share a rare seed; the best of its passages."""
+    def shared(self, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, most: int = 1_000_000) -> np.ndarray:
+        """How many words passages h[lo:hi] and items have in common, in any order; repeated words count as often as both have them."""
+        out = np.zeros(len(lo), np.int64)
+        for a, b in C.steps(np.append(0, np.cumsum(hi - lo)), most):
+            n = hi[a:b] - lo[a:b]
+            passage = np.repeat(np.arange(a, b), n)
+            word = h[np.arange(n.sum()) + np.repeat(lo[a:b] - (np.cumsum(n) - n), n)]
+            key = _of_item(word, item[passage])
+            k = np.minimum(np.searchsorted(self.own, key), len(self.own) - 1)
+            hit = self.own[k] == key
+            pair, times = np.unique(passage[hit] * len(self.own) + k[hit], return_counts=True)
+            np.add.at(out, pair // len(self.own), np.minimum(times, self.times[pair % len(self.own)]))
+        return out
+
+    def matches(self, h: np.ndarray, bounds: np.ndarray, threshold: float, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, score) of every document and item that share a seed and reach the threshold; the best of its passages."""
         place, k = self.found(h, bounds)
-        if not len(place):
-            return place, place, np.zeros(0)
+        doc = np.searchsorted(bounds, place, "right") - 1
+        got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        # whole documents with so many seeds of items, or one document
+        before = np.append(0, np.cumsum(self.count[k]))
+        cut = np.searchsorted(doc, np.arange(len(bounds)))
+        for lo, hi in C.steps(before[cut], most):
+            if cut[lo] < cut[hi]:
+                got.append(self._matches(h, bounds, place[cut[lo] : cut[hi]], k[cut[lo] : cut[hi]], threshold))
+        return tuple(np.concatenate(x) for x in zip(*got))
+
+    def _matches(self, h: np.ndarray, bounds: np.ndarray, place: np.ndarray, k: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         times = self.count[k]
         entry = np.repeat(self.first[k] - (np.cumsum(times) - times), times) + np.arange(times.sum())
         place, item, at = np.repeat(place, times), self.item[entry], self.at[entry]
@@ -84,7 +105,7 @@ class Items:
         begin = place - at  # where the item would begin
         order = np.lexsort((begin, item, doc))
         doc, item, begin = doc[order], item[order], begin[order]
-        size = np.array([len(w) for w in self.words])[item]
+        size = self.size[item]
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > size[1:])
         first = np.flatnonzero(new)
@@ -92,10 +113,15 @@ class Items:
         doc, item, size = doc[first], item[first], size[first]
         lo = np.maximum(bounds[doc], begin[first] - size // 2)
         hi = np.minimum(bounds[doc + 1], begin[last] + size + size // 2)
+        could = self.shared(h, lo, hi, item) / size >= threshold
+        doc, item, size, lo, hi = doc[could], item[could], size[could], lo[could], hi[could]
         score = align(h, lo, hi, [self.words[x] for x in item]) / (2 * size)
+        good = score >= threshold
+        doc, item, score = doc[good], item[good], score[good]
         order = np.lexsort((-score, item, doc))
         doc, item, score = doc[order], item[order], score[order]
-        best = np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))
+        best = np.ones(len(doc), bool)
+        best[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
         return doc[best], item[best], score[best]
 
 
@@ -134,59 +160,31 @@ def align(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, items: list[np.ndarray]
     return best
 
 
-def _seed_counts(docs: DataFrame, items) -> tuple[np.ndarray, int]:
-    def run(batches):
-        index = items.value
-        df, n = np.zeros(len(index.distinct), np.int64), 0
-        for b in batches:
-            buf, off = C.text_buffer(b.column(0))
-            n += b.num_rows
-            for lo, hi in C.steps(off):
-                _, _, h, bounds = C.words(buf, off[lo : hi + 1])
-                place, k = index.found(h, bounds)
-                doc = np.searchsorted(bounds, place, "right") - 1
-                df += np.bincount(np.unique(doc * len(df) + k) % max(1, len(df)), minlength=len(df))
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], ["seed", "df"])
-
-    got = C.arrow(docs.select("text")).mapInArrow(run, "seed long, df long").groupBy("seed").agg(F.sum("df").alias("df")).toArrow()
-    seed, count = got.column(0).to_numpy(), got.column(1).to_numpy()
-    df = np.zeros(len(items.value.distinct), np.int64)
-    df[seed[seed >= 0]] = count[seed >= 0]
-    return df, int(count[seed < 0].sum())
-
-
-def indexes(docs: DataFrame, benchmark: DataFrame, s: Settings):
-    """A broadcast index of rare seeds for each part of the benchmark."""
-    spark = docs.sparkSession
+def indexes(benchmark: DataFrame, s: Settings):
+    """A broadcast index of seeds for each part of the benchmark."""
+    spark = benchmark.sparkSession
     known = benchmark.filter("text is not null").select("item_id", "text")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + int(total // s.part_bytes)
     for p in range(parts):
         own = (known if parts == 1 else known.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == p)).toArrow().sort_by("item_id")
-        items = Items(own.column(0).combine_chunks(), own.column(1).to_pylist(), s.n)
-        first = spark.sparkContext.broadcast(items)
-        df, n = _seed_counts(docs, first)
-        items.keep_rare(df, n, s.share)
-        yield spark.sparkContext.broadcast(items)
-        first.unpersist()
+        yield spark.sparkContext.broadcast(Items(own.column(0).combine_chunks(), own.column(1).to_pylist(), s.n))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, item_id, score) of every document and item whose best alignment reaches the threshold."""
     kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, score double"
     out = None
-    for index in indexes(docs, benchmark, s):
+    for index in indexes(benchmark, s):
 
         def run(batches, index=index):
             for b in batches:
                 buf, off = C.text_buffer(b.column(1))
                 for lo, hi in C.steps(off):
                     _, _, h, bounds = C.words(buf, off[lo : hi + 1])
-                    doc, item, score = index.value.matches(h, bounds)
-                    good = score >= s.threshold
-                    if good.any():
-                        columns = [b.column(0).take(pa.array(doc[good] + lo)), index.value.ids.take(pa.array(item[good])), pa.array(np.round(score[good], 4))]
+                    doc, item, score = index.value.matches(h, bounds, s.threshold)
+                    if len(doc):
+                        columns = [b.column(0).take(pa.array(doc + lo)), index.value.ids.take(pa.array(item)), pa.array(np.round(score, 4))]
                         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score"])
 
         one = C.arrow(docs.select("doc_id", "text")).mapInArrow(run, kinds)
@@ -197,7 +195,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) ->
 def decontaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs without those that match an item."""
     out, at = docs, docs.columns.index("text")
-    for index in indexes(docs, benchmark, s):
+    for index in indexes(benchmark, s):
 
         def run(batches, index=index):
             for b in batches:
@@ -205,8 +203,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings
                 clean = np.ones(b.num_rows, bool)
                 for lo, hi in C.steps(off):
                     _, _, h, bounds = C.words(buf, off[lo : hi + 1])
-                    doc, _, score = index.value.matches(h, bounds)
-                    clean[doc[score >= s.threshold] + lo] = False
+                    doc, _, _ = index.value.matches(h, bounds, s.threshold)
+                    clean[doc + lo] = False
                 yield b.filter(pa.array(clean))
 
         out = C.arrow(out).mapInArrow(run, T.StructType(out.schema.fields))

@@ -81,6 +81,34 @@ def test_many_copies_of_an_item_are_all_found(docs, spark):
     assert {(x.doc_id, x.item_id) for x in got} == {(i, k) for i in range(40) for k in (1, 2)}
 
 
+def _edited(item, every):
+    """Every so-manieth word replaced."""
+    return " ".join("new" + str(k) if k % every == every - 1 else w for k, w in enumerate(item.split()))
+
+
+def test_items_that_occur_only_edited(docs, spark):
+    """Lone and repeated edited copies, in small and larger corpora, where no whole copy makes some seed rare."""
+    for clean, copies in ((5, 1), (40, 30), (2500, 1), (2500, 300)):
+        r = np.random.default_rng(12)
+        item, other = prose(r, 30), prose(r, 25)
+        texts = [prose(r, 20) for _ in range(clean)] + [" ".join([prose(r, 15), _edited(item, 6), prose(r, 15)]) for _ in range(copies)] + [other]
+        got = {(x.doc_id, x.item_id) for x in D.matches(docs(texts), spark.createDataFrame([(1, item), (2, other)], BENCH)).collect()}
+        assert got == {(clean + i, 1) for i in range(copies)} | {(clean + copies, 2)}, (clean, copies)
+
+
+def test_shared_words_bound_the_score():
+    r = np.random.default_rng(13)
+    items = D.Items(None, [prose(r, int(n)) for n in r.integers(3, 40, 30)], 3)
+    h = np.concatenate([*items.words, *C.word_hashes([prose(r, 2000)])])
+    lo = r.integers(0, len(h) - 1, 300)
+    hi = np.minimum(len(h), lo + r.integers(1, 90, 300))
+    item = r.integers(0, 30, 300)
+    got = items.shared(h, lo, hi, item, most=500)
+    assert (2 * got >= D.align(h, lo, hi, [items.words[k] for k in item])).all()
+    for a, b, k, n in zip(lo, hi, item, got):
+        assert n == sum(min((h[a:b] == w).sum(), (items.words[k] == w).sum()) for w in np.unique(items.words[k]))
+
+
 def test_odd(odd, spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (4, "one two three"), (None, "one two three"), (4, "one two three"), (5, "!!!")], BENCH).withColumn("doc_id", F.lit("own"))
     got = {(x.doc_id, x.item_id) for x in D.matches(odd, bench).collect()}
