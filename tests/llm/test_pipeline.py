@@ -23,6 +23,24 @@ def test_planted_cases(spark, tmp_path, odd):
     assert {x.doc_id for x in got.collect()} == set(range(80)) | {123, 124}
 
 
+def test_edited_benchmark_passages(spark, tmp_path):
+    """One edited copy of an item, and edited copies of another in several documents; neither occurs whole."""
+    r = np.random.default_rng(17)
+    lone, often = prose(r, 30), prose(r, 30)
+
+    def edited(item):
+        return " ".join("changed" if k % 7 == 5 else w for k, w in enumerate(item.split()))
+
+    texts = [prose(r, int(r.integers(60, 90))) for _ in range(40)] + [" ".join([prose(r, 60), edited(x), prose(r, 60)]) for x in [lone] + [often] * 12]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, lone), (2, often)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).count() == len(texts)  # they are no near copies
+    assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(40))
+
+
 def test_stages_in_order_and_their_columns(spark, tmp_path, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "SimHash near-dedup", "benchmark decontamination", "SentencePiece encoding"]
     d = docs(["a b c d", None, ""])
