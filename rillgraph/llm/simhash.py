@@ -2,7 +2,7 @@
 
 A document's fingerprint has 256 bits, the signs of the sums of its distinct words' hash bits. Documents meet in blocks
 that share some random bits of the fingerprint; the number of bits grows with the corpus so that blocks keep their size,
-and the number of such choices is what pairs at ``design`` differing bits need for the wanted recall. A block stores its
+and the number of such choices is what pairs at ``radius`` differing bits, the hardest to find, need for the wanted recall. A block stores its
 bit planes vertically, 64 documents to a machine word; each plane's differences are added to carry-save counters that
 overflow just above the radius; queries all of whose counters have overflowed are abandoned. Blocks send one edge per
 document that has a partner, and connected components of the edges are the groups. Blocks are compared whole: no
@@ -35,8 +35,7 @@ _LANES = np.array([sum(((v >> k) & 1) << (8 * k) for k in range(8)) for v in ran
 @dataclass(frozen=True)
 class Settings:
     radius: int = 44  #: most bits that differ between near-duplicates
-    design: int = 36  #: bits that differ in the pairs for which recall is set
-    recall: float = 0.95
+    recall: float = 0.95  #: of pairs at the radius; nearer ones have more
     block: int = 256  #: documents of a block, if bits were even
     seed: int = 5
 
@@ -151,7 +150,7 @@ def roots(n: int, fp: np.ndarray, radius: int) -> np.ndarray:
 def plan(n: int, s: Settings) -> list[np.ndarray]:
     """The bits of each choice for n fingerprints."""
     k = min(32, max(4, round(math.log2(max(2, n) / s.block))))
-    q = (1 - s.design / BITS) ** k
+    q = math.prod((BITS - s.radius - i) / (BITS - i) for i in range(k))  # that none of the bits differs
     m = max(1, math.ceil(math.log(1 - s.recall) / math.log(1 - q)))
     rng = np.random.default_rng(s.seed)
     return [np.sort(rng.choice(BITS, k, replace=False)) for _ in range(m)]

@@ -67,6 +67,20 @@ def test_recall_against_all_pairs(docs):
     assert {x.doc_id for x in S.near_dedup(docs(texts), s).collect()} == set(range(len(texts))) - {i for i, _ in got}
 
 
+def test_recall_up_to_the_radius_in_large_corpora():
+    """Pairs at each distance meet in a block of some choice, with the choices that large corpora get."""
+    r, s = np.random.default_rng(5), S.Settings()
+    for n in (10**5, 10**6, 10**7, 10**10):
+        choices = S.plan(n, s)
+        for d in range(37, s.radius + 1):
+            differ = np.zeros((2000, S.BITS), bool)
+            np.put_along_axis(differ, r.random(differ.shape).argpartition(d, axis=1)[:, :d], True, axis=1)
+            met = np.zeros(len(differ), bool)
+            for bits in choices:
+                met |= ~differ[:, bits].any(axis=1)
+            assert met.mean() >= 0.9, (n, d, met.mean())
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 90), (95, 90), (200, 200), (7, 3)]
     got = {x.node: x.root for x in S.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
