@@ -3,9 +3,10 @@
 Tokens are runs without white space. Each is labelled O, EMAIL, IP, CARD, PHONE or SECRET. Factors join neighbours (the
 chain) and distant tokens of a document that are equal, or have the same shape of letters, digits and signs (the skips), so
 that evidence at one place settles the label at others; repeated tokens are linked each to its next occurrence. Messages
-pass along all factors of a batch of documents at once until they settle. Plain tokens (no digit, '@' or '=', and no cue word)
-all have the same factor, so a run of them between two other tokens is the power of one matrix, taken exactly; only the
-other tokens are nodes. Documents without a candidate have label O throughout.
+pass along all factors of a batch of documents at once until they settle. Plain tokens (no digit, '@' or '=', no cue word, not
+announced as a secret by 'password:' or the like, nor equal to one that is) all have the same factor, so a run of them
+between two other tokens is the power of one matrix, taken exactly; only the other tokens are nodes. Documents without a
+candidate have label O throughout.
 
 The weights are fitted here, by pseudo-likelihood, on a seeded set of ``train_docs`` generated documents with known
 labels: values of each kind in several formats, and numbers, dates, versions, prices and sums that are none.
@@ -33,6 +34,10 @@ K = len(LABELS)
 _TOKEN = re.compile(r"\S+")
 _CANDIDATE = re.compile(r"[0-9@=]")
 _CUE = re.compile(r"^[\"'(]*(password|passwd|pwd|secret|token|key|api|apikey|api_key|auth|bearer|phone|tel|call|mobile|fax|email|mail|card|visa|ip|version|page|section|chapter|no|nr|id|total|price)[\"'):.,]*$", re.I)
+_ANNOUNCE = r"(?:password|passwd|passphrase|pwd|secret|token|api_?key)[\"')]*"
+_ANNOUNCES = re.compile(r"^[\"'(]*[\w.-]*" + _ANNOUNCE + "[:=]$", re.I)
+_NAMES_SECRET = re.compile(r"^[\"'(]*[\w.-]*" + _ANNOUNCE + "$", re.I)
+_ANNOUNCED = re.compile(_ANNOUNCE + r"\s*:\s", re.I)
 _EDGE = ".,;:!?\"'`<>[]{}|"
 
 
@@ -51,6 +56,24 @@ def bare(token: str) -> tuple[int, int]:
     return start, end
 
 
+def announced(tokens: list[str]) -> set[int]:
+    """Tokens after 'password:', 'password =' and the like."""
+    return {i for i in range(1, len(tokens)) if tokens[i - 1][-1] in ":=" and (_ANNOUNCES.match(tokens[i - 1]) or (i > 1 and len(tokens[i - 1]) == 1 and _NAMES_SECRET.match(tokens[i - 2]))) and tokens[i] not in ("=", ":")}
+
+
+def grouped(tokens: list[str], i: int) -> str:
+    """CARD or PHONE if token i is of a card number in groups or of a phone number in three; else empty."""
+    for form in ((4, 4, 4, 4), (4, 6, 5), (3, 3, 4)):
+        for a in range(max(0, i - len(form) + 1), i + 1):
+            own = [t[slice(*bare(t))] for t in tokens[a : a + len(form)]]
+            if tuple(map(len, own)) == form and re.fullmatch("[0-9]+", text := "".join(own)):
+                if len(text) == 10:
+                    return "PHONE"
+                if text[0] in "3456" and _luhn(text):
+                    return "CARD"
+    return ""
+
+
 @dataclass(frozen=True)
 class Settings:
     train_docs: int = 600
@@ -105,7 +128,9 @@ _FEATURES = [
 ]
 _NAMES = ["bias", *(n for n, _ in _FEATURES)]
 #: Each feature of the token itself, of the token just before, of the one just after, and of the one before that.
-WIDE = 4 * len(_NAMES)
+#: Then whether it is announced as a secret, whether it is a group of a card number, of a phone number, and whether it has eight letters or
+#: more and equals one that is announced elsewhere; shorter ones, often common words, have only the skip for that.
+WIDE = 4 * len(_NAMES) + 4
 #: The features of every plain token, whatever is beside it.
 PLAIN = [0, _NAMES.index("word")]
 
@@ -126,31 +151,42 @@ class Graph:
         chain, same, alike, label, runs = [], [], [], [], []
         for d, tokens in enumerate(docs):
             last, seen_token, seen_shape = -1, {}, {}
+            told = announced(tokens)
+            values = {tokens[i][slice(*bare(tokens[i]))].lower() for i in told} - {""}
             for i, t in enumerate(tokens):
                 plain = not _CANDIDATE.search(t)
-                if plain and not every and not _CUE.match(t):
+                value = i in told or (bool(values) and t[slice(*bare(t))].lower() in values)
+                if plain and not every and not value and not _CUE.match(t):
                     continue
                 node = len(self.at)
                 self.at.append((d, i))
                 own = PLAIN
-                if not plain or _CUE.match(t):
+                if not plain or i in told or _CUE.match(t):
                     own = list(_own(t))
                     for off, step in ((-1, 1), (1, 2), (-2, 3)):
                         if 0 <= i + off < len(tokens):
                             own += [step * len(_NAMES) + k for k in _own(tokens[i + off])]
+                    if i in told:
+                        own.append(WIDE - 2)
+                    if "0" <= t.strip(_EDGE)[:1] <= "9" and (kind := grouped(tokens, i)):
+                        own.append(WIDE - 1 if kind == "CARD" else WIDE - 4)
+                elif value and len(t[slice(*bare(t))]) >= 8:
+                    own = [*PLAIN, WIDE - 3]
                 self.features.append(own)
                 if last >= 0:
                     chain.append((node - 1, node, i - last - 1))
                 elif i:
                     runs.append((node, i, 0))
                 last = i
-                if not plain:
-                    core, form = t[slice(*bare(t))].lower(), shape(t)
+                if not plain or value:
+                    core, form = t[slice(*bare(t))].lower(), None if plain else shape(t)
                     if core in seen_token:
                         same.append((seen_token[core], node))
                     elif form in seen_shape:
                         alike.append((seen_shape[form], node))
-                    seen_token[core], seen_shape[form] = node, node
+                    seen_token[core] = node
+                    if not plain:
+                        seen_shape[form] = node
                 if wanted is not None:
                     label.append(wanted[d][i])
             if 0 <= last < len(tokens) - 1:
@@ -259,7 +295,7 @@ def marginals(g: Graph, model: Model, powers: np.ndarray, s: Settings = Settings
 def found(texts: list[str], model: Model, powers: np.ndarray, s: Settings = Settings()) -> list[list[tuple[str, int, int]]]:
     """(label, start, end) of each text's entities in order."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    some = [k for k, t in enumerate(texts) if _CANDIDATE.search(t)]
+    some = [k for k, t in enumerate(texts) if _CANDIDATE.search(t) or (":" in t and _ANNOUNCED.search(t))]
     for lo in range(0, len(some), 200):
         own = some[lo : lo + 200]
         spans = [[m.span() for m in _TOKEN.finditer(texts[k])] for k in own]
@@ -336,7 +372,9 @@ def generated(n: int, seed: int) -> tuple[list[list[str]], list[list[int]]]:
         body = str(r.choice(["4", "51", "37", "6011"]))
         body += digits(16 - len(body))
         body = next(body[:-1] + str(c) for c in range(10) if _luhn(body[:-1] + str(c)))
-        return [body] if r.random() < 0.7 else ["-".join(body[i : i + 4] for i in range(0, 16, 4))]
+        groups = [body[i : i + 4] for i in range(0, 16, 4)]
+        kind = r.random()
+        return [body] if kind < 0.5 else ["-".join(groups)] if kind < 0.7 else groups
 
     def email():
         dot = r.choice(["", ".", "_", "+"])
@@ -346,13 +384,16 @@ def generated(n: int, seed: int) -> tuple[list[list[str]], list[list[int]]]:
         return [".".join(str(x) for x in r.integers(1, 255, 4)) + ("" if r.random() < 0.9 else ":8080")]
 
     def phone():
-        kind = r.integers(5)
+        kind = r.integers(6)
+        if kind == 5:
+            return [digits(3), digits(3), digits(4)]
         if kind < 2:
             return [f"+{r.integers(1, 99)}", f"({digits(3)})", f"{digits(3)}-{digits(4)}"]
         return [[f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"{digits(3)}-{digits(3)}-{digits(4)}"], [f"+{r.integers(1, 99)}{digits(10)}"]][kind - 2]
 
     def secret():
-        kind = r.integers(6)
+        kind = r.integers(9)
+        letters = "".join(word() for _ in range(r.integers(3, 6))) if r.random() < 0.7 else "".join(r.choice(list("abcdefghijkmnopqrstuvwxyzABCDEFGHKLMNPQRSTUVWXYZ"), r.integers(8, 24)))
         cue = str(r.choice(["password", "secret", "api_key", "token", "passwd"]))
         if kind == 0:
             return [f"{cue}={hexa(int(r.integers(8, 40)))}"], [1]
@@ -364,6 +405,10 @@ def generated(n: int, seed: int) -> tuple[list[list[str]], list[list[int]]]:
             return [cue + ":", hexa(int(r.integers(12, 41)))], [0, 1]
         if kind == 4:
             return [str(r.choice(["ghp_", "sk-"])) + hexa(32)], [1]
+        if kind == 5:
+            return [cue, "=", f'"{letters}"'], [0, 0, 1]
+        if kind > 6:
+            return [cue + ":", letters], [0, 1]
         return [f"{cue}={word()}{digits(3)}{word()}"], [1]
 
     def serial():
@@ -372,13 +417,13 @@ def generated(n: int, seed: int) -> tuple[list[list[str]], list[list[int]]]:
         return [body if not _luhn(body) else "0" + body]
 
     def none():
-        kind = r.integers(17)
+        kind = r.integers(20)
         return [
             lambda: [digits(int(r.integers(1, 5)))], lambda: [f"{r.integers(1, 12)}.{r.integers(0, 20)}."], lambda: [f"{r.integers(1, 12)}.{r.integers(0, 20)}.{r.integers(0, 20)}"],
             lambda: [f"20{digits(2)}-{r.integers(1, 13):02d}-{r.integers(1, 29):02d}"], lambda: [f"{r.integers(1, 29)}/{r.integers(1, 13)}/20{digits(2)}"], lambda: [f"{r.integers(0, 24)}:{r.integers(10, 60)}"],
             lambda: [f"${r.integers(1, 9999)}.{digits(2)}"], lambda: [f"{r.integers(1, 999)},{digits(3)}"], lambda: [f"{r.integers(1, 100)}%"], lambda: ["version", f"{r.integers(1, 12)}.{r.integers(0, 20)}"],
             lambda: [f"{word()}={word()}"], lambda: [word(), "=", str(r.integers(1000))], lambda: [word() + digits(2)], lambda: ["token", word()],
-            serial, serial, lambda: [f"{r.integers(256, 999)}.{r.integers(1, 99)}.{r.integers(1, 99)}.{r.integers(256, 999)}"],
+            serial, serial, lambda: [digits(4), digits(4)], lambda: [digits(3), digits(3)], lambda: ["20" + digits(2) for _ in range(4)], lambda: [f"{r.integers(256, 999)}.{r.integers(1, 99)}.{r.integers(1, 99)}.{r.integers(256, 999)}"],
         ][kind]()
 
     docs, labels = [], []
@@ -403,7 +448,13 @@ def generated(n: int, seed: int) -> tuple[list[list[str]], list[list[int]]]:
                 else:
                     got = [None, email, ip, card, phone][kind]()
                     own = [kind] * len(got)
-                used.append((got, own))
+                if kind == 5 and len(got) > 1 and got[-1].strip('"').isalpha():  # its value alone is repeated, here or later
+                    used.append((got[-1:], own[-1:]))
+                    if r.random() < 0.7:
+                        between = [word() for _ in range(r.integers(1, 5))]
+                        got, own = [*got, *between, got[-1].strip('"')], [*own, *[0] * len(between), 5]
+                else:
+                    used.append((got, own))
             got = list(got)
             got[-1] += str(r.choice(["", "", ".", ","]))
             tokens += got

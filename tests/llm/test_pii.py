@@ -57,6 +57,17 @@ def test_kinds_and_clean_text(docs):
     assert x[1].n_entities == 0 and x[1].redacted == "Nothing private here, in 12 words or 3,000."
 
 
+def test_secrets_of_letters(docs):
+    """After a cue, in texts without any digit or sign, and where such a value is repeated."""
+    x = [y.redacted for y in Q.scrub(docs(["The password: correcthorsebattery works.", "token = kzqwvunmhrtx here", "password: correcthorsebattery was set, so correcthorsebattery it is", "A token of thanks and a secret garden."])).orderBy("doc_id").collect()]
+    assert x == ["The password: [SECRET] works.", "token = [SECRET] here", "password: [SECRET] was set, so [SECRET] it is", "A token of thanks and a secret garden."]
+
+
+def test_numbers_in_groups(docs):
+    x = [y.redacted for y in Q.scrub(docs(["Paid by 4111 1111 1111 1111 today.", "call 555 123 4567 tonight", "In 2001 2002 2003 2004 it rained."])).orderBy("doc_id").collect()]
+    assert x == ["Paid by [CARD] today.", "call [PHONE] tonight", "In 2001 2002 2003 2004 it rained."]
+
+
 def test_offsets_and_odd(odd):
     got = Q.scrub(odd).collect()
     assert len(got) == odd.count()
