@@ -24,6 +24,10 @@ from pyspark.sql import types as T
 from . import common as C
 
 
+#: Fine enough for a sample of any number of rows.
+HASHES = 1 << 62
+
+
 @dataclass(frozen=True)
 class Settings:
     train_rows: int = 2000  #: expected labelled rows of each language that fitting reads
@@ -68,6 +72,11 @@ def totals(per: list[np.ndarray], bounds: np.ndarray, matrix: np.ndarray) -> np.
     return out
 
 
+def share(rows: int, s: Settings) -> int:
+    """Of the HASHES values of a row's hash, how many put a row of so many into the sample."""
+    return int(min(1.0, s.train_rows / rows) * HASHES)
+
+
 def train(docs: DataFrame, s: Settings = Settings()) -> tuple[list[str], np.ndarray]:
     """Languages in order and the log-probability matrix (buckets, languages)."""
     known = docs.filter("lang is not null and doc_id is not null")
@@ -77,8 +86,8 @@ def train(docs: DataFrame, s: Settings = Settings()) -> tuple[list[str], np.ndar
         return [], np.zeros((1 << s.bits, 0))
     part = F.lit(None).cast("long")
     for name, n in langs:
-        part = F.when(F.col("lang") == name, F.lit(int(min(1.0, s.train_rows / n) * 1_000_000))).otherwise(part)
-    sample = known.filter((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part) & F.col("text").isNotNull()).select("lang", "text")
+        part = F.when(F.col("lang") == name, F.lit(share(n, s))).otherwise(part)
+    sample = known.filter((F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < part) & F.col("text").isNotNull()).select("lang", "text")
     at = {name: i for i, name in enumerate(names)}
 
     def run(batches):

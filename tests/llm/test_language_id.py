@@ -70,3 +70,10 @@ def test_odd(odd):
 def test_no_labels_and_empty(docs, empty):
     assert {x.predicted for x in L.identify(docs(["a b", "c"])).collect()} == {"und"}
     assert L.identify(empty).count() == 0
+
+
+def test_sample_size_of_any_number_of_rows():
+    s = L.Settings()
+    assert L.share(10, s) == L.HASHES
+    for rows in (10**4, 10**9, 1_500_000_000, 3 * 10**9, 10**12):
+        assert abs(rows * L.share(rows, s) / L.HASHES - s.train_rows) < 1, rows
