@@ -7,31 +7,14 @@ the checkpoint folder, so the lineage stays short and lost executors cost one le
 from __future__ import annotations
 
 import functools
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import blast_bucket, lineage_bucket
 from ..schema import EDGE_KEY, POLICIES
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset (tests), a local one is made."""
-    sc = spark.sparkContext
-    there = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if there is None:
-        there = "file://" + tempfile.mkdtemp(prefix="rillgraph-")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(there)
-    return there
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from ..shared import saved
 
 
 SMALL = 100_000

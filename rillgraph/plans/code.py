@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..operators import graph as G
+from ..shared import fresh_folder, removed
 from ..sources import column_lineage as L
 from ..sources import documents as D
 from ..sources import extract as E
@@ -127,12 +125,13 @@ def streamed_windows(spark, d):
     """The events table as a stream into hourly windows; each batch's whole result replaces the last."""
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    folder = f"{G.shared_dir(spark).rstrip('/')}/windows-{uuid.uuid4().hex}"
+    folder = fresh_folder(spark, "windows")
 
     def batch(df, n):
         df.write.parquet(f"{folder}/{n:09d}", mode="overwrite")
 
     w = I.event_windows(stream).writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
     w.awaitTermination()
+    removed(spark, f"{folder}-state")
     last = int(w.lastProgress["batchId"]) if w.lastProgress else 0
     return spark.read.parquet(f"{folder}/{last:09d}").select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
