@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import saved, shared_dir  # noqa: F401  the operators take them from here
+
 #: Rows per Arrow batch; texts are long, so the default of 10,000 would hold too much at once.
 ARROW_ROWS = 1000
 #: Bytes of text that one numpy step looks at; its temporaries are some tens of times larger.
@@ -18,23 +18,6 @@ STEP_BYTES = 2_000_000
 BROADCAST_BYTES = 32_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset (tests), a local one is made."""
-    sc = spark.sparkContext
-    there = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if there is None:
-        there = "file://" + tempfile.mkdtemp(prefix="rillgraph-")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(there)
-    return there
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def arrow(df: DataFrame) -> DataFrame:
     """Before mapInArrow: keep the batches small enough for long texts."""
     spark = df.sparkSession
@@ -49,14 +32,17 @@ def checked_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTE
 
 
 def row_key() -> F.Column:
-    """64-bit identity of a document row: its id and its text. Rows equal in both share it."""
-    return F.xxhash64(F.col("doc_id"), F.col("text"))
+    """128-bit identity of a document row: the MD5 of its id and its text. Rows equal in both share it; at 64 bits, rows
+    would vanish by chance from 10^9 keys on."""
+    part = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text")]
+    null = F.when(F.col("doc_id").isNull(), "n").otherwise("i"), F.when(F.col("text").isNull(), "n").otherwise("t")
+    return F.unhex(F.md5(F.concat(null[0], part[0], F.lit(" "), null[1], part[1])))
 
 
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """docs without the rows whose row_key is in keys(_key)."""
     at = fresh(docs)
-    return docs.withColumn(at, row_key()).join(checked_broadcast(keys.select(F.col("_key").alias(at)), 40), at, "left_anti").drop(at)
+    return docs.withColumn(at, row_key()).join(checked_broadcast(keys.select(F.col("_key").alias(at)), 64), at, "left_anti").drop(at)
 
 
 def fresh(df: DataFrame) -> str:

@@ -5,8 +5,13 @@ that share some random bits of the fingerprint; the number of bits grows with th
 and the number of such choices is what pairs at ``radius`` differing bits, the hardest to find, need for the wanted recall. A block stores its
 bit planes vertically, 64 documents to a machine word; each plane's differences are added to carry-save counters that
 overflow just above the radius; queries all of whose counters have overflowed are abandoned. Blocks send one edge per
-document that has a partner, and connected components of the edges are the groups. Blocks are compared whole: no
-partner or candidate is capped.
+document that has a partner, and connected components of the edges are the groups.
+
+Equal fingerprints are one node, so copies cost nothing here however many there are. A block of more than ``most`` unlike
+fingerprints, as a template with many fillings makes, is cut into chunks by a hash, and every two chunks of it meet in a
+task of their own: no task holds more than about twice ``most`` and every pair of a block is still compared, so no partner or
+candidate is capped. Which blocks are that large is estimated from the counts of every sixteenth fingerprint; the estimate decides
+only how the comparing is divided, not what is compared. The work in such a block stays quadratic.
 
 Defined results: texts without a word (null and empty ones too) have no fingerprint and are in no group; rows equal in id
 and text are one document; a null doc_id takes part, is last in order and so is kept only if all ids of its group are null;
@@ -37,6 +42,7 @@ class Settings:
     radius: int = 44  #: most bits that differ between near-duplicates
     recall: float = 0.95  #: of pairs at the radius; nearer ones have more
     block: int = 256  #: documents of a block, if bits were even
+    most: int = 16_384  #: fingerprints of a block that one task compares
     seed: int = 5
 
 
@@ -164,48 +170,78 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
             buf, off = C.text_buffer(b.column(2))
             fp, some = fingerprints(buf, off)
             keep = pa.array(some)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(fp[:, w].view(np.int64)) for w in range(WORDS))], ["doc_id", "_key", "f0", "f1", "f2", "f3"]).filter(keep)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(fp[:, w].view(np.int64)) for w in range(WORDS))], ["doc_id", "_key", *PRINT]).filter(keep)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return C.arrow(docs.select("doc_id", C.row_key().alias("_key"), "text")).mapInArrow(run, f"doc_id {kind}, _key long, f0 long, f1 long, f2 long, f3 long")
+    return C.arrow(docs.select("doc_id", C.row_key().alias("_key"), "text")).mapInArrow(run, f"doc_id {kind}, _key binary, f0 long, f1 long, f2 long, f3 long")
+
+
+PRINT = ["f0", "f1", "f2", "f3"]
+SAMPLED = 16
+
+
+def blocks(reps: DataFrame, choices: list[np.ndarray]) -> DataFrame:
+    """_block, rep and f0..f3: a row for each choice of bits."""
+
+    def run(batches):
+        for b in batches:
+            fp = np.stack([b.column(k).to_numpy() for k in range(1, 5)], axis=1)
+            spread = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+            for band, bits in enumerate(choices):
+                block = (spread[:, bits].astype(np.int64) << np.arange(len(bits))).sum(axis=1) * len(choices) + band
+                yield pa.RecordBatch.from_arrays([pa.array(block), *b.columns], ["_block", "rep", *PRINT])
+
+    return reps.select("rep", *PRINT).mapInArrow(run, "_block long, rep long, f0 long, f1 long, f2 long, f3 long")
+
+
+def divided(bands: DataFrame, sample: DataFrame, s: Settings) -> DataFrame:
+    """bands with _cell: rows of a block that meet. Large blocks have a cell for every two of their chunks."""
+    large = C.saved(sample.groupBy("_block").agg((F.count("*") * SAMPLED).alias("_n")).filter(F.col("_n") > s.most).select("_block", F.ceil(F.col("_n") / s.most).cast("int").alias("_chunks")))
+    if large.isEmpty():
+        return bands.withColumn("_cell", F.lit(0).cast("long"))
+    own = F.pmod(F.xxhash64("rep", F.lit(1)), F.coalesce("_chunks", F.lit(1))).cast("long")
+    cells = F.transform(F.sequence(F.lit(0), F.coalesce("_chunks", F.lit(1)) - 1), lambda j: F.least(own, j.cast("long")) * F.lit(1 << 31) + F.greatest(own, j.cast("long")))
+    return bands.join(C.checked_broadcast(large, 16), "_block", "left").withColumn("_cell", F.explode(cells)).drop("_chunks")
 
 
 def edges(reps: DataFrame, n: int, s: Settings) -> DataFrame:
-    """(u, v) with v the root of u in some block, for fingerprints reps(_key, f0..f3) without equals."""
+    """(u, v) with v the root of u in some block, for fingerprints reps(rep, f0..f3) without equals."""
     choices = plan(n, s)
-    bands = reps.select(
-        "*",
-        F.explode(
-            F.array(*(F.struct(F.lit(b).alias("band"), sum((F.getbit(f"f{i // 64}", F.lit(int(i % 64))).cast("long") * (1 << k) for k, i in enumerate(bits)), F.lit(0).cast("long")).alias("bits")) for b, bits in enumerate(choices)))
-        ).alias("_b"),
-    ).select((F.col("_b.bits") * len(choices) + F.col("_b.band")).alias("_block"), "_key", "f0", "f1", "f2", "f3")
+    sample = blocks(reps.filter(F.pmod(F.xxhash64("rep"), F.lit(SAMPLED)) == 0), choices)
+    bands = divided(blocks(reps, choices), sample, s).select("_block", "_cell", "rep", *PRINT)
 
     def run(batches):
         def compared(block):
-            keys = block[:, 1]
+            keys = block[:, 2]
             if len(keys) > 1:
-                label = roots(len(keys), np.ascontiguousarray(block[:, 2:]).view(np.uint64), s.radius)
+                label = roots(len(keys), np.ascontiguousarray(block[:, 3:]).view(np.uint64), s.radius)
                 m = label != np.arange(len(label))
                 return keys[m], keys[label[m]]
             return keys[:0], keys[:0]
 
-        rest = np.zeros((0, 6), np.int64)
+        rest: list[np.ndarray] = []  # the pieces of the block that isn't over yet
         u, v = [], []
         for b in batches:
-            rows = np.concatenate([rest, np.stack([c.to_numpy() for c in b.columns], axis=1)])
-            cut = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+            if not b.num_rows:
+                continue
+            rows = np.stack([c.to_numpy() for c in b.columns], axis=1)
+            cut = np.append(0, np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1)
+            if rest and not (rest[-1][-1, :2] == rows[0, :2]).all():
+                cut = np.append(0, cut)  # the block that was open ended with the last batch
             for x, y in zip(cut[:-1], cut[1:]):
-                p, q = compared(rows[x:y])
+                p, q = compared(np.concatenate([*rest, rows[x:y]]))
+                rest = []
                 u.append(p)
                 v.append(q)
-            rest = rows[cut[-1] :]
+            rest.append(rows[cut[-1] :])
             if sum(map(len, u)) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
                 u, v = [], []
-        p, q = compared(rest)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*u, p])), pa.array(np.concatenate([*v, q]))], ["u", "v"])
+        if rest:
+            p, q = compared(np.concatenate(rest))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*u, p])), pa.array(np.concatenate([*v, q]))], ["u", "v"])
 
-    return bands.repartition("_block").sortWithinPartitions("_block").mapInArrow(run, "u long, v long")
+    return bands.repartition("_block", "_cell").sortWithinPartitions("_block", "_cell").mapInArrow(run, "u long, v long")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -226,15 +262,14 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, _key and keep_id of every document in a group of two or more."""
-    prints = C.saved(fingerprint_table(docs).dropDuplicates(["_key"]))
-    same = prints.groupBy("f0", "f1", "f2", "f3").agg(F.min("_key").alias("rep"), F.count("*").alias("n"))
-    reps = C.saved(same)
-    count = reps.count()
-    near = edges(reps.select(F.col("rep").alias("_key"), "f0", "f1", "f2", "f3"), count, s)
-    equal = prints.join(reps.filter("n > 1"), ["f0", "f1", "f2", "f3"]).select(F.col("_key").alias("u"), F.col("rep").alias("v"))
-    roots_ = components(near.unionByName(equal))
-    members = C.saved(prints.select("doc_id", "_key").join(roots_, F.col("_key") == F.col("node")).select("doc_id", "_key", "root"))
+    """doc_id, _key, and id and key of the one kept, of every document in a group of two or more rows."""
+    prints = C.saved(fingerprint_table(docs))
+    # ids of the distinct fingerprints; the checkpoint fixes them
+    reps = C.saved(prints.groupBy(*PRINT).agg(F.count("*").alias("n")).withColumn("rep", F.monotonically_increasing_id()))
+    near = edges(reps, reps.count(), s)
+    roots_ = components(near)
+    label = reps.join(roots_, F.col("rep") == F.col("node"), "left").filter("n > 1 or root is not null").select(*PRINT, F.coalesce("root", "rep").alias("root"))
+    members = C.saved(prints.join(label, PRINT).select("doc_id", "_key", "root"))
     keep = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("k"))
     return members.join(keep, "root").select("doc_id", "_key", F.col("k.doc_id").alias("keep_id"), F.col("k._key").alias("keep_key"))
 

@@ -97,3 +97,23 @@ def test_odd(odd):
 
 def test_empty(empty):
     assert S.near_duplicates(empty).count() == 0 and S.near_dedup(empty).count() == 0
+
+
+def test_large_blocks_are_divided_and_lose_no_pair(spark, docs):
+    """A template with many fillings: one block holds all, is cut into chunks, and gives the same groups."""
+    r = np.random.default_rng(6)
+    words = prose(r, 200).split()
+    texts = []
+    for k in range(400):
+        w = list(words)
+        for at in r.choice(len(w), 3, replace=False):
+            w[at] = f"filled{k}"
+        texts.append(" ".join(w))
+    texts += [prose(r, 100) for _ in range(100)]
+    whole, cut = S.Settings(), S.Settings(most=40)
+    reps = spark.createDataFrame([(i, *map(int, f.view(np.int64))) for i, f in enumerate(_fp(texts)[0])], "rep long, f0 long, f1 long, f2 long, f3 long")
+    choices = S.plan(len(texts), cut)
+    bands = S.blocks(reps, choices)
+    cells = S.divided(bands, S.blocks(reps.filter("pmod(xxhash64(rep), 16) = 0"), choices), cut).groupBy("_block", "_cell").count().toPandas()
+    assert cells["count"].max() < 4 * cut.most < bands.groupBy("_block").count().toPandas()["count"].max()
+    assert {tuple(x) for x in S.near_duplicates(docs(texts), cut).collect()} == {tuple(x) for x in S.near_duplicates(docs(texts), whole).collect()}
