@@ -20,6 +20,5 @@ QUERIES = {
 SQL = {
     "op7_warc": warc.SQL,
     "op8_url_filter": url_filter.SQL,
-    "op10_token_counts": token_counts.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
