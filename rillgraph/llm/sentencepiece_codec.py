@@ -1,11 +1,11 @@
 """SentencePiece (BPE with byte fallback) encoding and decoding by vectorised merge rounds.
 
 The model file (its path is a parameter) is parsed here; nothing is trained. A text is cut into words at spaces, which no
-piece crosses. New words of a batch go through merge rounds together: their symbols lie in one flat array, each round looks
-up the rank of every adjacent pair, takes the least rank of each word by a segmented minimum, merges that pair's leftmost
-occurrence in all words at once, and compacts the arrays; words without a pair left are done. (Only the leftmost
-occurrence: a merge may create a better pair that takes part of the next one.) Words over ``LONG`` characters are merged
-with a heap, to the same result. Known words are kept in a table that is emptied when it grows too large.
+piece crosses. New words of a batch go through merge rounds together, whatever their length: their symbols lie in one flat array
+with the rank of every adjacent pair; each round takes the least rank of each word by a segmented minimum, merges its
+occurrences in all words at once, from the left, looks up the pairs that this made, and compacts the arrays; words without a pair
+left are done. Where a merge makes a pair of less rank, that one is due first, so the occurrences after it wait for a later
+round. Known words are kept in a table that is emptied when it grows too large.
 
 Defined results: null text gives null ids, null count and null round_trip; empty text gives no ids; a literal U+2581 is
 decoded as a space, as the format has it, so round_trip is false there; texts are encoded whole. Equal rows give equal
@@ -15,7 +15,6 @@ results; an empty table an empty one; other columns pass through unchanged, thos
 from __future__ import annotations
 
 import functools
-import heapq
 import os
 import re
 import struct
@@ -30,8 +29,9 @@ from . import common as C
 
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
-LONG = 200
+#: Words in a worker's table before it is emptied; only memory depends on it.
 KNOWN = 400_000
+NONE = np.iinfo(np.int64).max
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -106,70 +106,67 @@ class Model:
                     ranks.append(rank[i])
         by = np.argsort(keys)
         self.n, self.key, self.merged, self.rank = n, np.array(keys, np.int64)[by], np.array(merged, np.int32)[by], np.array(ranks, np.int64)[by]
-        self.pair = {k: (r, m) for k, r, m in zip(self.key.tolist(), self.rank.tolist(), self.merged.tolist())}
         self.flat = np.frombuffer(b"".join(out), np.uint8)
         self.size = np.array([len(x) for x in out], np.int64)
         self.start = np.cumsum(self.size) - self.size
 
     # --- encoding
 
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the pairs of symbols, NONE where they don't merge, and what they merge to."""
+        key = np.where((a < self.n) & (b < self.n), a * self.n + b, -1)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.rank[at], NONE), self.merged[at]
+
     def merge_rounds(self, words: list[str]) -> list[list[int]]:
         """Symbols of each word after all merges; an unknown character c is n + its code point."""
         cp = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         known, back = np.unique(cp, return_inverse=True)
         sym = np.array([self.id.get(chr(c), self.n + c) for c in known.tolist()], np.int64)[back] if len(cp) else np.zeros(0, np.int64)
         word = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        none = np.iinfo(np.int64).max
+        rank, to = np.full(len(sym), NONE), np.zeros(len(sym), np.int64)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        rank[inner], to[inner] = self.pairs(sym[inner], sym[inner + 1])
         out: list[list[int]] = [[] for _ in words]
         while len(sym):
-            a, b = sym[:-1], sym[1:]
-            key = np.where((word[:-1] == word[1:]) & (a < self.n) & (b < self.n), a * self.n + b, -1)
-            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            rank = np.append(np.where(self.key[at] == key, self.rank[at], none), none)
             starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            least = np.minimum.reduceat(rank, starts)
             length = np.diff(np.append(starts, len(sym)))
-            done = least == none
+            least = np.minimum.reduceat(rank, starts)
+            done = least == NONE
+            keep = np.ones(len(sym), bool)
             if done.any():
                 for s, n in zip(starts[done].tolist(), length[done].tolist()):
                     out[word[s]] = sym[s : s + n].tolist()
-            hit = np.flatnonzero((rank == np.repeat(least, length)) & (rank != none))
-            hit = hit[np.append(True, word[hit[1:]] != word[hit[:-1]])] if len(hit) else hit
-            sym[hit] = self.merged[at[hit]]
-            keep = np.repeat(~done, length)
-            keep[hit + 1] = False
-            sym, word = sym[keep], word[keep]
+                keep = np.repeat(~done, length)
+            hit = np.flatnonzero((rank == np.repeat(least, length)) & keep)
+            # of overlapping occurrences the first, third, ... merge
+            run = np.flatnonzero(np.append(True, hit[1:] != hit[:-1] + 1)) if len(hit) else hit
+            hit = hit[(np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))) % 2 == 0]
+            if len(hit):
+                # a merge that makes a pair of less rank comes last in its round
+                own, new = rank[hit], to[hit]
+                before, after = hit - 1, np.minimum(hit + 2, len(sym) - 1)
+                left = sym[before]
+                chained = np.append(False, hit[1:] == hit[:-1] + 2)
+                left = np.where(chained, np.append(0, new[:-1]), left)
+                better = ((hit > 0) & (word[before] == word[hit]) & (self.pairs(left, new)[0] < own)) | ((hit + 2 < len(sym)) & (word[after] == word[hit]) & (self.pairs(new, sym[after])[0] < own))
+                if better.any():
+                    group = np.flatnonzero(np.append(True, word[hit[1:]] != word[hit[:-1]]))
+                    n = np.diff(np.append(group, len(hit)))
+                    earlier = np.cumsum(better) - better
+                    fine = earlier == np.repeat(earlier[group], n)
+                    hit, new = hit[fine], new[fine]
+                sym[hit] = new
+                keep[hit + 1] = False
+            now = (np.cumsum(keep) - 1)[hit]
+            sym, word, rank, to = sym[keep], word[keep], rank[keep], to[keep]
+            for at in (now, now[now > 0] - 1):
+                whole = at[at < len(sym) - 1]
+                rank[at] = NONE
+                whole = whole[word[whole] == word[whole + 1]]
+                rank[whole], to[whole] = self.pairs(sym[whole], sym[whole + 1])
         return out
 
-    def merge_heap(self, word: str) -> list[int]:
-        """The same for one long word, in n log n."""
-        sym: list[int | None] = [self.id.get(c, self.n + ord(c)) for c in word]
-        n = len(sym)
-        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int, int]] = []
-
-        def push(i: int) -> None:
-            j = right[i]
-            if i >= 0 and j < n and sym[i] < self.n and sym[j] < self.n and (p := self.pair.get(sym[i] * self.n + sym[j])):
-                heapq.heappush(heap, (p[0], i, sym[i], sym[j]))
-
-        for i in range(n - 1):
-            push(i)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = right[i]
-            if sym[i] != a or j >= n or sym[j] != b:
-                continue
-            sym[i] = self.pair[a * self.n + b][1]
-            sym[j] = None
-            right[i] = right[j]
-            if right[i] < n:
-                left[right[i]] = i
-            push(i)
-            if left[i] >= 0:
-                push(left[i])
-        return [s for s in sym if s is not None]
-
     def finish(self, symbols: list[int]) -> list[int]:
         """Ids, with unknown characters as bytes."""
         if max(symbols, default=0) < self.n:
@@ -184,8 +181,7 @@ class Model:
 
         def learn(new: list[str]) -> None:
             nonlocal flat, start, size, used
-            short = [w for w in new if len(w) <= LONG]
-            for w, s in chain(zip(short, self.merge_rounds(short)), ((w, self.merge_heap(w)) for w in new if len(w) > LONG)):
+            for w, s in zip(new, self.merge_rounds(new)):
                 ids, k = self.finish(s), len(known)
                 if used + len(ids) > len(flat):
                     flat = np.concatenate([flat, np.zeros(len(flat) + len(ids), np.int32)])

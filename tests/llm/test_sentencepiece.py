@@ -30,10 +30,32 @@ def test_round_trip(docs):
     assert all(x.round_trip and x.decoded_text == x.text for x in out.collect())
 
 
-def test_heap_and_rounds_agree():
-    m = P.model()
-    words = [P.SPACE + w for t in texts() for w in t.replace("▁", "").split()]
-    assert m.merge_rounds(words) == [m.merge_heap(w) for w in words]
+def _one_by_one(m, pair, word):
+    """Merges of one word, the leftmost of the least rank each time."""
+    sym = [m.id.get(c, m.n + ord(c)) for c in word]
+    while True:
+        got = [(*pair[a * m.n + b], i) for i, (a, b) in enumerate(zip(sym, sym[1:])) if a < m.n and b < m.n and a * m.n + b in pair]
+        if not got:
+            return sym
+        _, new, i = min(got, key=lambda x: (x[0], x[2]))
+        sym[i : i + 2] = [new]
+
+
+def test_rounds_against_merges_one_by_one():
+    m, r = P.model(), np.random.default_rng(18)
+    words = [P.SPACE + w[:300] for t in texts() for w in t.replace("▁", "").split()] + ["".join(r.choice(list("aehtin"), 120)) for _ in range(60)] + ["", "a", "a" * 257, "ab" * 100 + "a"]
+    pair = dict(zip(m.key.tolist(), zip(m.rank.tolist(), m.merged.tolist())))
+    assert m.merge_rounds(words) == [_one_by_one(m, pair, w) for w in words]
+    assert m.merge_rounds([]) == []
+
+
+def test_very_long_words():
+    """100,000 characters without a space take rounds by the number of different merges, not by their length."""
+    lib = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=P.MODEL)
+    r = np.random.default_rng(19)
+    for word in ("x" * 100_000, "".join(r.choice(list("etaoinshrdlu"), 100_000)), "".join(map(chr, r.integers(0x4E00, 0x9FFF, 30_000)))):
+        ids, _ = P.model().encoder()([word])
+        assert ids.tolist() == lib.encode(word)
 
 
 def test_known_words_may_be_forgotten(monkeypatch):
