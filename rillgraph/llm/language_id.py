@@ -2,7 +2,7 @@
 
 Texts become code points in lower case; runs of 1 to 3 of them are hashed into ``2**bits`` buckets. Fitting counts buckets
 by language over a bounded sample of labelled rows (about ``train_rows`` of each language, chosen by a hash of the id),
-partly in each task; the log-probability matrix is broadcast. Scoring treats a batch as a sparse matrix (documents by
+partly in each task; the log-probability matrix is broadcast. The priors are the languages' shares of all labelled rows. Scoring treats a batch as a sparse matrix (documents by
 buckets, one entry for each n-gram) and multiplies it by that matrix in numpy: gathered rows are summed by document.
 Scoring covers every document and its whole text.
 
@@ -77,13 +77,13 @@ def share(rows: int, s: Settings) -> int:
     return int(min(1.0, s.train_rows / rows) * HASHES)
 
 
-def train(docs: DataFrame, s: Settings = Settings()) -> tuple[list[str], np.ndarray]:
-    """Languages in order and the log-probability matrix (buckets, languages)."""
+def train(docs: DataFrame, s: Settings = Settings()) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages in order, the log-probability matrix (buckets, languages) and the log priors."""
     known = docs.filter("lang is not null and doc_id is not null")
     langs = sorted(known.groupBy("lang").count().collect())  # a row for each language
     names = [r[0] for r in langs]
     if not names:
-        return [], np.zeros((1 << s.bits, 0))
+        return [], np.zeros((1 << s.bits, 0)), np.zeros(0)
     part = F.lit(None).cast("long")
     for name, n in langs:
         part = F.when(F.col("lang") == name, F.lit(share(n, s))).otherwise(part)
@@ -109,14 +109,15 @@ def train(docs: DataFrame, s: Settings = Settings()) -> tuple[list[str], np.ndar
     got = C.arrow(sample).mapInArrow(run, "k long, bucket long, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
     count = np.zeros((1 << s.bits, len(names)))
     count[got.column(1).to_numpy(), got.column(0).to_numpy()] = got.column(2).to_numpy()
-    return names, np.log(count + s.smooth) - np.log(count.sum(axis=0) + s.smooth * (1 << s.bits))
+    rows = np.array([n for _, n in langs], float)
+    return names, np.log(count + s.smooth) - np.log(count.sum(axis=0) + s.smooth * (1 << s.bits)), np.log(rows / rows.sum())
 
 
-def classify(texts: list[str], names: list[str], matrix: np.ndarray, s: Settings) -> tuple[list[str], np.ndarray]:
+def classify(texts: list[str], names: list[str], matrix: np.ndarray, prior: np.ndarray, s: Settings) -> tuple[list[str], np.ndarray]:
     if not names:
         return ["und"] * len(texts), np.zeros(len(texts))
     per, bounds = ngrams(texts, s)
-    score = totals(per, bounds, matrix)
+    score = totals(per, bounds, matrix) + prior
     best = score.argmax(axis=1)
     p = 1 / np.exp(np.minimum(score - score.max(axis=1, keepdims=True), 0)).sum(axis=1)
     blank = np.array([not t.strip() for t in texts], bool)
@@ -128,13 +129,13 @@ def identify(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(train(docs, s))
 
     def run(batches):
-        names, matrix = model.value
+        names, matrix, prior = model.value
         for b in batches:
             text = b.column(2)
             _, off = C.text_buffer(text)
             lang, p = [], []
             for lo, hi in C.steps(off, C.STEP_BYTES // 2):
-                x, y = classify([t or "" for t in text.slice(lo, hi - lo).to_pylist()], names, matrix, s)
+                x, y = classify([t or "" for t in text.slice(lo, hi - lo).to_pylist()], names, matrix, prior, s)
                 lang += x
                 p.append(y)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(np.concatenate(p) if p else np.zeros(0))], ["doc_id", "lang", "predicted", "confidence"])

@@ -8,12 +8,29 @@ from rillgraph.llm import language_id as L
 DIR = "/root/testdata/sf0.01"
 
 
-def _brute(texts, names, counts, s):
+def _bucket(gram, s):
+    """The bucket of one n-gram, in whole numbers."""
+    h = None
+    for k, c in enumerate(map(ord, gram)):
+        x = (c + 1) * 0x9E3779B1 % 2**32
+        h = x if h is None else ((h ^ (h >> 15)) * (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)[k % 3] + x) % 2**32
+    return (((h ^ (h >> 16)) * 0xC2B2AE35) % 2**32) >> (32 - s.bits)
+
+
+def test_ngrams_against_whole_numbers():
+    s = L.Settings()
+    for t in ("Wasser des Flusses", "é中😀 a", "x", ""):
+        low = t.lower()
+        want = [[_bucket(low[i : i + k + 1], s) for i in range(len(low) - k)] for k in range(s.orders)]
+        assert [p.tolist() for p in L.ngrams([t], s)[0]] == want[: len(L.ngrams([t], s)[0])]
+
+
+def _brute(texts, names, counts, prior, s):
     """Naive Bayes n-gram by n-gram."""
     total = counts.sum(axis=0)
     out = []
     for t in texts:
-        score = np.zeros(len(names))
+        score = np.array(prior)
         for per in L.ngrams([t], s)[0]:
             for b in per:
                 score += np.log(counts[b] + s.smooth) - np.log(total + s.smooth * 2**s.bits)
@@ -38,7 +55,7 @@ def test_against_brute_force(docs):
             for per in L.ngrams([t], s)[0]:
                 np.add.at(counts[:, names.index(k)], per, 1)
     got = {x.doc_id: x.predicted for x in L.identify(docs(texts, langs), s).collect()}
-    assert [got[i] for i in range(len(texts))] == _brute(texts, names, counts, s)
+    assert [got[i] for i in range(len(texts))] == _brute(texts, names, counts, np.log([1 / 3] * 3), s)
 
 
 def test_ngrams_stay_in_their_text():
@@ -72,6 +89,13 @@ def test_no_labels_and_empty(docs, empty):
     assert L.identify(empty).count() == 0
 
 
+def test_priors_decide_where_texts_do_not(docs):
+    """A character that no labelled text has is as likely in each language but for their sizes; the more frequent wins."""
+    texts = ["abc def"] * 9 + ["abc def"] * 3 + ["abc"]
+    got = {x.doc_id: x for x in L.identify(docs(texts, ["b"] * 9 + ["a"] * 3 + [None])).collect()}
+    assert got[12].predicted == "b" and got[12].confidence > 0.7
+
+
 def test_sample_size_of_any_number_of_rows():
     s = L.Settings()
     assert L.share(10, s) == L.HASHES
