@@ -7,7 +7,8 @@ document and every word.
 Defined results: a null, empty or wordless text scores 0.0 and is not toxic; a null doc_id is scored like any other; each
 of several equal rows gets its own, equal, result; without labels of both kinds, or without documents, every score is 0.0.
 Labels with a null id or a null flag are left out; of contradicting labels of one id the toxic one counts. Other columns of
-documents are not read. The features of a document are a set, so repeated words count once.
+documents are not read. The features of a document are a set, so repeated words count once; texts of any length are scored whole.
+Features that fewer than ``least_docs`` of the labelled rows have get no weight.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ class Settings:
     l1: float = 5.0
     l2: float = 0.1
     threshold: float = 0.3
+    least_docs: int = 3  #: labelled documents that must have a feature for it to get a weight; 1 leaves all to the L1 term
 
 
 def features(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,11 +69,11 @@ def _sigmoid(x):
 def fit(rows: list[tuple[np.ndarray, int]], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of the weights that are not zero, the bias at index 2**BITS. rows: (distinct features, label)."""
     z, n = np.zeros(2**BITS + 1), np.zeros(2**BITS + 1)
-    # a feature of one or two documents can't be told from chance; leaving it out keeps the updates short
+    # a feature of fewer documents can't be told from chance; leaving it out keeps the updates short
     common = np.zeros(2**BITS, np.int32)
     for f, _ in rows:
         common[f] += 1
-    rows = [(np.append(f[common[f] > 2], 2**BITS), y) for f, y in rows]
+    rows = [(np.append(f[common[f] >= s.least_docs], 2**BITS), y) for f, y in rows]
 
     def weights(i):
         zi = z[i]

@@ -71,3 +71,9 @@ def test_empty(empty, docs, spark):
     assert X.toxicity(empty, labels).count() == 0 and X.without_toxic(empty, none).count() == 0
     assert {x.toxicity for x in X.toxicity(d, none).collect()} == {0.0} and X.without_toxic(d, none).count() == 120
     assert X.without_toxic(d, labels.filter("toxic = 0")).count() == 120
+
+
+def test_rare_features_are_a_setting():
+    """A feature of one document gets a weight if the setting says so and the L1 term lets it."""
+    rows = [(np.array([1, 7]), 1)] + [(np.array([1]), 1)] * 5 + [(np.array([2]), 0)] * 6
+    assert 7 not in X.fit(rows, X.Settings(l1=0.1))[0] and 7 in X.fit(rows, X.Settings(l1=0.1, least_docs=1))[0]
