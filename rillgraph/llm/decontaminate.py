@@ -3,12 +3,14 @@
 One scan of the corpus and no join: every place where a seed (run of ``n`` words) of an item occurs is a passage, however
 many documents have that seed. An alignment counts +2 for equal words, -1 for others and for gaps; the score is its share
 of a whole match. No score is above the share of the item's words that the passage has at all, so passages where that
-share is under the threshold aren't aligned; nothing is lost by it. The items are broadcast in parts of at most
+share is under the threshold aren't aligned; nothing is lost by it. A passage ends where no alignment that reaches the
+threshold could go on, so insertions are aligned as long as they may be. The items are broadcast in parts of at most
 ``part_bytes`` of text, one scan each.
 
 Defined results: null and wordless texts match nothing, on either side; items of fewer than ``n`` words have no seed and
 match nothing; equal items with different ids each match; each of several equal rows is judged alike; ids may be null;
-words are compared in lower case without punctuation; empty tables give an empty result. Only doc_id and text of
+words are compared in lower case without punctuation; texts of any length are searched whole, a text's passages one by
+one; empty tables give an empty result. Only doc_id and text of
 documents, item_id and text of the benchmark are read; other columns pass through decontaminated unchanged.
 """
 
@@ -111,8 +113,10 @@ class Items:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(doc)) - 1
         doc, item, size = doc[first], item[first], size[first]
-        lo = np.maximum(bounds[doc], begin[first] - size // 2)
-        hi = np.minimum(bounds[doc + 1], begin[last] + size + size // 2)
+        # an alignment that reaches the threshold has gaps of at most 2 * (1 - threshold) * size words, on both sides together
+        slack = np.ceil(2 * (1 - threshold) * size).astype(np.int64)
+        lo = np.maximum(bounds[doc], begin[first] - slack)
+        hi = np.minimum(bounds[doc + 1], begin[last] + size + slack)
         could = self.shared(h, lo, hi, item) / size >= threshold
         doc, item, size, lo, hi = doc[could], item[could], size[could], lo[could], hi[could]
         score = align(h, lo, hi, [self.words[x] for x in item]) / (2 * size)

@@ -121,3 +121,14 @@ def test_empty(empty, docs, spark):
     none, one = spark.createDataFrame([], BENCH), spark.createDataFrame([(1, "a b c d")], BENCH)
     assert D.matches(empty, one).count() == 0 and D.matches(docs(["a b c d"]), none).count() == 0
     assert D.decontaminated(docs(["a b c d"]), none).count() == 1 and D.decontaminated(empty, none).count() == 0
+
+
+def test_long_insertions_are_aligned(docs, spark):
+    """Nearly an item's length between its halves still leaves a score above the threshold, found from either half's seeds."""
+    r = np.random.default_rng(14)
+    item = prose(r, 40)
+    w = item.split()
+    texts = [" ".join([prose(r, 60), *w[:20], prose(r, n), *w[20:], prose(r, 60)]) for n in (10, 25, 34, 70)]
+    got = {x.doc_id: x.score for x in D.matches(docs(texts), spark.createDataFrame([(1, item)], BENCH)).collect()}
+    want = {i: round(float(D.align(h, np.array([0]), np.array([len(h)]), [C.word_hashes([item])[0]])[0]) / 80, 4) for i, h in enumerate(C.word_hashes(texts))}
+    assert want[2] > 0.5 and got == {i: s for i, s in want.items() if s >= 0.5}
