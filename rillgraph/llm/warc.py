@@ -3,17 +3,24 @@
 ``write`` stores pages as .warc.gz files of one gzip member per record in the shared folder, one file for a task, of which
 only those of successful tasks are known. ``index`` streams through the files once and gives offset, length, URL and
 digest of every record. ``read`` takes any selection of index rows: they are spread by file and stretch of ``stretch``
-bytes, sorted by offset within each task, and ranges less than ``gap`` bytes apart are read at once, up to ``most`` bytes;
-nothing between stretches without a selected record is read. Payload digests are checked on reading.
+bytes, as many tasks as stretches, sorted by offset within each task, and ranges less than ``gap`` bytes apart are read at once,
+up to ``most`` bytes; nothing between stretches without a selected record is read. Payload digests are checked on reading.
 
-Defined results: a null url is written without a target, a null html as an empty payload without the field that marks it
-present, and both come back null; equal rows are records of their own; page ids may be null or repeated; an empty table
+Files may come from elsewhere: plain .warc files, field names in any case, ``response`` records (the HTTP
+head is split off, chunked and compressed bodies are undone), SHA-1, SHA-256 and MD5 digests in base 16 or 32 (others aren't
+checked), texts that aren't UTF-8 (replaced). Nothing is lost silently: bytes that are no whole record (a cut end, damage, trailing
+bytes) are an index row of their own with ok false and without URL, up to the next place where a record begins; read gives such a row back with
+ok false and a null html. Of a gzip member with several records (an archive compressed as a whole) only the first is indexed.
+
+Defined results: a null url is written without a target, a null html as an empty payload with a field that says so, and both come back
+null; equal rows are records of their own; page ids may be null or repeated; an empty table
 writes no record and gives an empty index; a record whose payload doesn't match its digest comes back with ok false. Only
 page_id, url and html are stored.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -56,20 +63,79 @@ def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
             head.append("X-Target: " + quote(url, safe=""))
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
-    if html is not None:
+    if html is None:
+        head.append("X-Payload: none")
+    else:
         head.append("WARC-Payload-Digest: " + digest(body))
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """Fields of a head by lower-case name, without its first line."""
+    out: dict[str, str] = {}
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
+
+
 def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
-    head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    """Fields and block of a record; ValueError if it isn't whole."""
+    head, end, rest = data.partition(b"\r\n\r\n")
+    fields = _fields(head)
+    if not head.startswith(b"WARC/") or not end or not fields.get("content-length", "").isdigit() or len(rest) < int(fields["content-length"]):
+        raise ValueError("no whole record")
+    return fields, rest[: int(fields["content-length"])]
+
+
+def _dechunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        end = body.index(b"\r\n", at)
+        n = int(body[at:end].split(b";")[0], 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
+def payload(fields: dict[str, str], block: bytes) -> tuple[bytes, list[bytes]]:
+    """What a record holds, and what its digest may be of: the block's payload as stored, or without its transfer coding."""
+    if fields.get("warc-type", "").lower() != "response" or not block.startswith(b"HTTP/"):
+        return block, [block]
+    head, _, body = block.partition(b"\r\n\r\n")
+    http, seen = _fields(head), [body]
+    try:
+        if http.get("transfer-encoding", "").lower() == "chunked":
+            body = _dechunked(body)
+            seen.append(body)
+        if http.get("content-encoding", "").lower() in ("gzip", "x-gzip", "deflate"):
+            body = zlib.decompress(body, 47)
+    except (ValueError, zlib.error):
+        pass  # a body that isn't coded as its head says is given as it is
+    return body, seen
+
+
+def matches(want: str | None, bodies: list[bytes]) -> bool:
+    """Whether a digest is that of one of the bodies; without a digest, or with one of another kind, nothing is wrong."""
+    kind, _, value = (want or "").partition(":")
+    if kind.lower() not in ("sha1", "sha256", "md5"):
+        return True
+    for b in bodies:
+        d = hashlib.new(kind.lower(), b)
+        if value.lower() == d.hexdigest() or value.upper().rstrip("=") == base64.b32encode(d.digest()).decode().rstrip("="):
+            return True
+    return False
 
 
 def _url(fields: dict[str, str]) -> str | None:
-    return unquote(fields["X-Target"]) if "X-Target" in fields else fields.get("WARC-Target-URI")
+    return unquote(fields["x-target"]) if "x-target" in fields else fields["warc-target-uri"].strip("<>") if "warc-target-uri" in fields else None
+
+
+def _page(fields: dict[str, str]) -> int | None:
+    return int(fields["x-page-id"]) if fields.get("x-page-id", "").lstrip("-").isdigit() else None
 
 
 def write(pages: DataFrame, folder: str, s: Settings = Settings()) -> DataFrame:
@@ -93,24 +159,94 @@ def write(pages: DataFrame, folder: str, s: Settings = Settings()) -> DataFrame:
     return C.saved(C.arrow(pages.select("page_id", "url", "html")).mapInArrow(run, "file string, records long"))
 
 
-def members(stream, block: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of each gzip member."""
-    at, z, out, rest = 0, zlib.decompressobj(31), [], b""
-    used = 0
-    while True:
-        data = rest or stream.read(block)
-        rest = b""
-        if not data:
-            return
-        out.append(z.decompress(data))
-        used += len(data) - len(z.unused_data)
-        if z.eof:
-            yield at, used, b"".join(out)
-            at, rest, used, out, z = at + used, z.unused_data, 0, [], zlib.decompressobj(31)
+MAGIC = b"\x1f\x8b\x08"
+
+
+def members(stream, block: int = 1 << 17) -> Iterator[tuple[int, int, bytes | None]]:
+    """(offset, length, content) of each gzip member; content is None for bytes that are no whole member."""
+    at, data, over = 0, b"", False
+
+    def more() -> bool:
+        nonlocal data, over
+        got = b"" if over else stream.read(block)
+        over = over or not got
+        data += got
+        return bool(got)
+
+    while data or more():
+        z, out, fed, ok = zlib.decompressobj(31), [], 0, True
+        try:
+            while not z.eof:
+                if fed == len(data) and not more():
+                    ok = False
+                    break
+                out.append(z.decompress(data[fed:]))
+                fed = len(data) - len(z.unused_data)
+        except zlib.error:
+            ok = False
+        if ok:
+            yield at, fed, b"".join(out)
+        else:  # to where the next member may begin
+            while (fed := data.find(MAGIC, 1)) < 0 and more():
+                pass
+            fed = len(data) if fed < 0 else fed
+            yield at, fed, None
+        at, data = at + fed, data[fed:]
+
+
+def plain(stream, block: int = 1 << 20) -> Iterator[tuple[int, int, bytes | None]]:
+    """The same for the records of a file that isn't compressed."""
+    at, data, over = 0, b"", False
+
+    def upto(n: int) -> bool:
+        nonlocal data, over
+        while len(data) < n and not over:
+            got = stream.read(max(block, n - len(data)))
+            over = not got
+            data += got
+        return len(data) >= n
+
+    while upto(1):
+        end = -1
+        while data.startswith(b"WARC/") and (end := data.find(b"\r\n\r\n")) < 0 and upto(len(data) + 1):
+            pass
+        size = _fields(data[:end]).get("content-length", "") if end >= 0 else ""
+        n = end + 4 + int(size) if size.isdigit() else 0
+        if n and upto(n):
+            while n < end + 8 + int(size) and upto(n + 2) and data[n : n + 2] == b"\r\n":
+                n += 2
+            yield at, n, data[:n]
+        else:
+            while (n := data.find(b"WARC/1.", 1)) < 0 and upto(len(data) + 1):
+                pass
+            n = len(data) if n < 0 else n
+            yield at, n, None
+        at, data = at + n, data[n:]
+
+
+def records(stream) -> Iterator[tuple[int, int, bytes | None]]:
+    """Members or plain records, by the file's first bytes."""
+
+    class Peeked:
+        first = stream.read(len(MAGIC))
+
+        def read(self, n: int) -> bytes:
+            got, self.first = self.first, b""
+            return got + stream.read(n)
+
+    s = Peeked()
+    return plain(s) if s.first.startswith(b"WAR") else members(s)
 
 
 def index(files: DataFrame) -> DataFrame:
-    """(file, offset, length, url, digest, page_id) of every record."""
+    """(file, offset, length, url, digest, page_id, kind, ok) of every record. A member of several records gives a row for its first."""
+
+    def row(file, offset, length, data):
+        try:
+            fields, _ = parsed(data or b"")
+        except ValueError:
+            return file, offset, length, None, None, None, None, False
+        return file, offset, length, _url(fields), fields.get("warc-payload-digest"), _page(fields), fields.get("warc-type"), True
 
     def run(batches):
         for b in batches:
@@ -118,9 +254,8 @@ def index(files: DataFrame) -> DataFrame:
                 fs, path = _open(file)
                 rows = []
                 with fs.open_input_stream(path, compression=None) as f:
-                    for offset, length, data in members(f):
-                        fields, _ = parsed(data)
-                        rows.append((file, offset, length, _url(fields), fields.get("WARC-Payload-Digest"), int(fields["X-Page-ID"]) if "X-Page-ID" in fields else None))
+                    for offset, length, data in records(f):
+                        rows.append(row(file, offset, length, data))
                         if len(rows) == 10_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), KINDS)], NAMES)
                             rows = []
@@ -128,11 +263,11 @@ def index(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), KINDS)], NAMES)
 
     spread = files.select("file").repartition(max(1, files.count()), "file")
-    return spread.mapInArrow(run, "file string, offset long, length long, url string, digest string, page_id long")
+    return spread.mapInArrow(run, "file string, offset long, length long, url string, digest string, page_id long, kind string, ok boolean")
 
 
-NAMES = ["file", "offset", "length", "url", "digest", "page_id"]
-KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+NAMES = ["file", "offset", "length", "url", "digest", "page_id", "kind", "ok"]
+KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
 
 
 def ranges(rows: list[tuple[int, int]], gap: int, most: int) -> Iterator[tuple[int, int, int, int]]:
@@ -150,6 +285,15 @@ def ranges(rows: list[tuple[int, int]], gap: int, most: int) -> Iterator[tuple[i
 def read(selected: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(page_id, url, digest, html, ok) of the selected index rows."""
 
+    def record_of(data: bytes):
+        try:
+            fields, block = parsed(zlib.decompress(data, 31) if data.startswith(MAGIC) else data)
+        except (ValueError, zlib.error):
+            return None, None, None, None, False
+        body, bodies = payload(fields, block)
+        want = fields.get("warc-payload-digest")
+        return _page(fields), _url(fields), want, None if fields.get("x-payload") == "none" else body.decode("utf-8", "replace"), matches(want, bodies)
+
     def run(batches):
         pending: list[tuple[str, int, int]] = []
 
@@ -166,9 +310,7 @@ def read(selected: DataFrame, s: Settings = Settings()) -> DataFrame:
                     for start, stop, a, b in ranges(own, s.gap, s.most):
                         data = f.read_at(stop - start, start)
                         for o, n in own[a:b]:
-                            fields, body = parsed(zlib.decompress(data[o - start : o - start + n], 31))
-                            want = fields.get("WARC-Payload-Digest")
-                            out.append((int(fields["X-Page-ID"]) if "X-Page-ID" in fields else None, _url(fields), want, body.decode() if want else None, want is None or digest(body) == want))
+                            out.append(record_of(data[o - start : o - start + n]))
                             if len(out) == 500:
                                 yield out
                                 out = []
@@ -186,14 +328,16 @@ def read(selected: DataFrame, s: Settings = Settings()) -> DataFrame:
                 pending = []
         yield from map(batch, fetch(pending))
 
-    place = selected.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / s.stretch))
-    return place.sortWithinPartitions("file", "offset").mapInArrow(run, "page_id long, url string, digest string, html string, ok boolean")
+    place = C.saved(selected.select("file", "offset", "length", F.floor(F.col("offset") / s.stretch).alias("_stretch")))
+    tasks = max(1, place.select("file", "_stretch").distinct().count())  # a number that is asked for isn't coalesced
+    spread = place.repartition(tasks, "file", "_stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    return spread.mapInArrow(run, "page_id long, url string, digest string, html string, ok boolean")
 
 
 def first_captures(records: DataFrame) -> DataFrame:
-    """Of each URL the record with the smallest page_id (nulls last), then the smallest digest."""
+    """Of each URL the page (resource or response) with the smallest page_id (nulls last), then the smallest digest."""
     w = Window.partitionBy("url").orderBy(F.col("page_id").asc_nulls_last(), F.col("digest").asc_nulls_last(), "file", "offset")
-    return records.filter("url is not null").withColumn("_nr", F.row_number().over(w)).filter("_nr = 1").drop("_nr")
+    return records.filter("url is not null and lower(kind) in ('resource', 'response')").withColumn("_nr", F.row_number().over(w)).filter("_nr = 1").drop("_nr")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
