@@ -3,6 +3,11 @@
 Each step keeps only the groups that still have two members; whole texts are hashed only in the groups that survive both
 cheap steps. Of a group the smallest doc_id is kept (nulls last).
 
+Plan: columnar storage has no way to a text's length or first characters but through the column of texts, so one scan takes both (12
+bytes a row go on) and the refinement by length and by prefix runs on that table alone; a second scan, with the surviving
+(length, prefix) groups as a broadcast or shuffled semi-join, hashes the texts of those groups, and only their hashes are
+shuffled. Texts never are. Counts and minima combine before the shuffle, so a group of a third of all rows is one row a task.
+
 Defined results: a null text duplicates nothing; empty texts equal each other; texts are compared as they are, so case and
 spaces count; rows with null doc_id take part and lose against any id; a row that repeats (same id, same text) is one
 document, of which exact_dedup keeps one row and duplicates() reports none; an empty table gives an empty result. Only
