@@ -1,23 +1,26 @@
 """Personal and secret data: a skip-chain conditional random field with loopy message passing.
 
-Tokens are runs without white space. Each is labelled O, EMAIL, IP, CARD, PHONE or SECRET. Factors join neighbours (the
+Tokens are runs without white space; addresses and runs of Chinese, Japanese or Korean letters glued to other text are tokens of their own. Each
+is labelled O, EMAIL, IP (4 and 6), CARD, PHONE, SECRET, IBAN or SSN (of the United States); names and postal addresses aren't looked for. Factors join neighbours (the
 chain) and distant tokens of a document that are equal, or have the same shape of letters, digits and signs (the skips), so
 that evidence at one place settles the label at others; repeated tokens are linked each to its next occurrence. Messages
 pass along all factors of a batch of documents at once until they settle. Plain tokens (no digit, '@' or '=', no cue word, not
-announced as a secret by 'password:' or the like, nor equal to one that is) all have the same factor, so a run of them
-between two other tokens is the power of one matrix, taken exactly; only the other tokens are nodes. Documents without a
-candidate have label O throughout.
+announced as a secret by 'password:' or the like, not equal to one that is, no group of an account number) all have the same factor, so a run of them
+between two other tokens is the power of one matrix, taken exactly; only the other tokens are nodes. A plain token is O
+whatever its neighbours are (a test compares all labels of both), so nothing is lost by not asking. Every document and its
+whole text is searched.
 
 The weights are fitted here, by pseudo-likelihood, on a seeded set of ``train_docs`` generated documents with known
 labels: values of each kind in several formats, and numbers, dates, versions, prices and sums that are none.
 
 Defined results: null text gives no entity and a null redacted text, empty text an empty one; ids may be null; equal rows
-get equal results; tables may be empty; only doc_id and text are read. Whole texts are searched. Offsets count characters.
+get equal results; tables may be empty; only doc_id and text are read; texts of any length are searched whole. Offsets count characters.
 """
 
 from __future__ import annotations
 
 import functools
+import ipaddress
 import re
 from dataclasses import dataclass
 
@@ -29,15 +32,31 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-LABELS = ["O", "EMAIL", "IP", "CARD", "PHONE", "SECRET"]
+LABELS = ["O", "EMAIL", "IP", "CARD", "PHONE", "SECRET", "IBAN", "SSN"]
 K = len(LABELS)
 _TOKEN = re.compile(r"\S+")
-_CANDIDATE = re.compile(r"[0-9@=]")
+_CANDIDATE = re.compile(r"[0-9@=]|::")
+_EMAIL = r"[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+_CJK = "\u1100-\u11ff\u2e80-\u303f\u3041-\u30ff\u3131-\u318e\u31f0-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
+_GLUED = re.compile(f"{_EMAIL}|[{_CJK}]+|(?:(?!{_EMAIL})[^{_CJK}])+")
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where the tokens of a text are."""
+    out = []
+    for m in _TOKEN.finditer(text):
+        t, a = m[0], m.start()
+        if "@" in t or not t.isascii():
+            out += [(a + x.start(), a + x.end()) for x in _GLUED.finditer(t)]
+        else:
+            out.append(m.span())
+    return out
+
+
 _CUE = re.compile(r"^[\"'(]*(password|passwd|pwd|secret|token|key|api|apikey|api_key|auth|bearer|phone|tel|call|mobile|fax|email|mail|card|visa|ip|version|page|section|chapter|no|nr|id|total|price)[\"'):.,]*$", re.I)
 _ANNOUNCE = r"(?:password|passwd|passphrase|pwd|secret|token|api_?key)[\"')]*"
 _ANNOUNCES = re.compile(r"^[\"'(]*[\w.-]*" + _ANNOUNCE + "[:=]$", re.I)
 _NAMES_SECRET = re.compile(r"^[\"'(]*[\w.-]*" + _ANNOUNCE + "$", re.I)
-_ANNOUNCED = re.compile(_ANNOUNCE + r"\s*:\s", re.I)
 _EDGE = ".,;:!?\"'`<>[]{}|"
 
 
@@ -74,6 +93,36 @@ def grouped(tokens: list[str], i: int) -> str:
     return ""
 
 
+def _iban(t: str) -> bool:
+    """Whether a text without spaces is an account number with the right check digits."""
+    return bool(re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", t)) and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+
+def ibans(tokens: list[str]) -> set[int]:
+    """Tokens that are groups of an account number written in groups of four."""
+    out: set[int] = set()
+    for i, t in enumerate(tokens):
+        if len(t) < 9 and "0" <= t[-1] <= "9" and re.fullmatch(r"[A-Z]{2}\d{2}", t[slice(*bare(t))]):
+            whole = t[slice(*bare(t))]
+            for j in range(i + 1, min(len(tokens), i + 9)):
+                group = tokens[j][slice(*bare(tokens[j]))]
+                if not re.fullmatch("[A-Z0-9]{1,4}", group):
+                    break
+                whole += group
+                if _iban(whole):
+                    out |= set(range(i, j + 1))
+                if len(group) < 4 or len(tokens[j]) > len(group):
+                    break
+    return out
+
+
+def _ipv6(t: str) -> bool:
+    try:
+        return t.count(":") > 1 and ipaddress.ip_address(t.strip("[]").split("%")[0]).version == 6
+    except ValueError:
+        return False
+
+
 @dataclass(frozen=True)
 class Settings:
     train_docs: int = 600
@@ -93,9 +142,9 @@ def _luhn(d: str) -> bool:
 
 
 def shape(token: str) -> str:
-    """Letters, digits and signs of a token, runs of one kind shortened."""
-    t = re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 5)}", token[slice(*bare(token))])
-    return re.sub(r"[^\W\d_]+", "a", t)[:40]
+    """Letters, digits and signs of a token; runs of letters are one, of digits their number."""
+    t = re.sub(r"[0-9]+", lambda m: f"9{len(m[0])}", token[slice(*bare(token))])
+    return re.sub(r"[^\W\d_]+", "a", t)
 
 
 _FEATURES = [
@@ -124,13 +173,19 @@ _FEATURES = [
     ("assign", lambda t: "=" in t and len(t) > 1),
     ("secretcue", lambda t: re.fullmatch(r"(?i)(password|passwd|pwd|secret|token|key|apikey|api_key|auth|bearer):?", t)),
     ("cue", lambda t: _CUE.match(t)),
+    ("ipv6", _ipv6),
+    ("iban", _iban),
+    ("ibanlike", lambda t: re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", t)),
+    ("ssn", lambda t: re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", t)),
+    ("url", lambda t: "://" in t),
     ("word", lambda t: not _CANDIDATE.search(t)),
 ]
 _NAMES = ["bias", *(n for n, _ in _FEATURES)]
 #: Each feature of the token itself, of the token just before, of the one just after, and of the one before that.
 #: Then whether it is announced as a secret, whether it is a group of a card number, of a phone number, and whether it has eight letters or
-#: more and equals one that is announced elsewhere; shorter ones, often common words, have only the skip for that.
-WIDE = 4 * len(_NAMES) + 4
+#: more and equals one that is announced elsewhere; shorter ones, often common words, have only the skip for that. And whether it is a
+#: group of an account number.
+WIDE = 4 * len(_NAMES) + 5
 #: The features of every plain token, whatever is beside it.
 PLAIN = [0, _NAMES.index("word")]
 
@@ -152,22 +207,25 @@ class Graph:
         for d, tokens in enumerate(docs):
             last, seen_token, seen_shape = -1, {}, {}
             told = announced(tokens)
+            account = ibans(tokens)
             values = {tokens[i][slice(*bare(tokens[i]))].lower() for i in told} - {""}
             for i, t in enumerate(tokens):
                 plain = not _CANDIDATE.search(t)
                 value = i in told or (bool(values) and t[slice(*bare(t))].lower() in values)
-                if plain and not every and not value and not _CUE.match(t):
+                if plain and not every and not value and i not in account and not _CUE.match(t):
                     continue
                 node = len(self.at)
                 self.at.append((d, i))
                 own = PLAIN
-                if not plain or i in told or _CUE.match(t):
+                if not plain or i in told or i in account or _CUE.match(t):
                     own = list(_own(t))
                     for off, step in ((-1, 1), (1, 2), (-2, 3)):
                         if 0 <= i + off < len(tokens):
                             own += [step * len(_NAMES) + k for k in _own(tokens[i + off])]
                     if i in told:
                         own.append(WIDE - 2)
+                    if i in account:
+                        own.append(WIDE - 5)
                     if "0" <= t.strip(_EDGE)[:1] <= "9" and (kind := grouped(tokens, i)):
                         own.append(WIDE - 1 if kind == "CARD" else WIDE - 4)
                 elif value and len(t[slice(*bare(t))]) >= 8:
@@ -295,24 +353,23 @@ def marginals(g: Graph, model: Model, powers: np.ndarray, s: Settings = Settings
 def found(texts: list[str], model: Model, powers: np.ndarray, s: Settings = Settings()) -> list[list[tuple[str, int, int]]]:
     """(label, start, end) of each text's entities in order."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    some = [k for k, t in enumerate(texts) if _CANDIDATE.search(t) or (":" in t and _ANNOUNCED.search(t))]
-    for lo in range(0, len(some), 200):
-        own = some[lo : lo + 200]
-        spans = [[m.span() for m in _TOKEN.finditer(texts[k])] for k in own]
-        g = Graph([[texts[k][a:b] for a, b in sp] for k, sp in zip(own, spans)])
+    for lo in range(0, len(texts), 200):
+        own = range(lo, min(len(texts), lo + 200))
+        at = [spans(texts[k]) for k in own]
+        g = Graph([[texts[k][a:b] for a, b in sp] for k, sp in zip(own, at)])
         if not g.at:
             continue
         best = marginals(g, model, powers, s).argmax(axis=1).tolist()
         for (d, i), y in zip(g.at, best):
             if y:
-                a, b = spans[d][i]
+                a, b = at[d][i]
                 t = texts[own[d]][a:b]
                 left, right = bare(t)
                 if left < right:
                     got = out[own[d]]
                     last = got[-1] if got else None
-                    adjoins = last and i and last[0] == LABELS[y] and last[2] == spans[d][i - 1][1]
-                    if adjoins and LABELS[y] in ("PHONE", "CARD"):
+                    adjoins = last and i and last[0] == LABELS[y] and last[2] == at[d][i - 1][1]
+                    if adjoins and LABELS[y] in ("PHONE", "CARD", "IBAN"):
                         got[-1] = (last[0], last[1], a + right)
                     else:
                         got.append((LABELS[y], a + left, a + right))
@@ -380,7 +437,20 @@ def generated(n: int, seed: int) -> tuple[list[list[str]], list[list[int]]]:
         dot = r.choice(["", ".", "_", "+"])
         return [f"{word()}{dot}{r.choice([word(), digits(2)])}@{word()}{r.choice(['', digits(1)])}.{r.choice(['com', 'org', 'example.com', 'net', 'co.uk'])}"]
 
+    def iban():
+        land, body = str(r.choice(["GB", "DE", "FR", "NL", "ES"])), digits(int(r.integers(10, 18)))
+        body = "".join(r.choice(list("ABCDEFGHKLMNPRSTWZ"), 4)) + body if r.random() < 0.5 else body
+        check = 98 - int("".join(str(int(c, 36)) for c in body + land + "00")) % 97
+        whole = f"{land}{check:02d}{body}"
+        return [whole] if r.random() < 0.5 else [whole[i : i + 4] for i in range(0, len(whole), 4)]
+
+    def ssn():
+        return [f"{r.integers(1, 666):03d}-{r.integers(1, 100):02d}-{r.integers(1, 10000):04d}"]
+
     def ip():
+        if r.random() < 0.3:
+            groups = [f"{x:x}" for x in r.integers(0, 65536, 8)]
+            return [":".join(groups) if r.random() < 0.5 else ":".join(groups[: int(r.integers(1, 4))]) + "::" + groups[7]]
         return [".".join(str(x) for x in r.integers(1, 255, 4)) + ("" if r.random() < 0.9 else ":8080")]
 
     def phone():
@@ -417,13 +487,15 @@ def generated(n: int, seed: int) -> tuple[list[list[str]], list[list[int]]]:
         return [body if not _luhn(body) else "0" + body]
 
     def none():
-        kind = r.integers(20)
+        kind = r.integers(25)
         return [
             lambda: [digits(int(r.integers(1, 5)))], lambda: [f"{r.integers(1, 12)}.{r.integers(0, 20)}."], lambda: [f"{r.integers(1, 12)}.{r.integers(0, 20)}.{r.integers(0, 20)}"],
             lambda: [f"20{digits(2)}-{r.integers(1, 13):02d}-{r.integers(1, 29):02d}"], lambda: [f"{r.integers(1, 29)}/{r.integers(1, 13)}/20{digits(2)}"], lambda: [f"{r.integers(0, 24)}:{r.integers(10, 60)}"],
             lambda: [f"${r.integers(1, 9999)}.{digits(2)}"], lambda: [f"{r.integers(1, 999)},{digits(3)}"], lambda: [f"{r.integers(1, 100)}%"], lambda: ["version", f"{r.integers(1, 12)}.{r.integers(0, 20)}"],
             lambda: [f"{word()}={word()}"], lambda: [word(), "=", str(r.integers(1000))], lambda: [word() + digits(2)], lambda: ["token", word()],
             serial, serial, lambda: [digits(4), digits(4)], lambda: [digits(3), digits(3)], lambda: ["20" + digits(2) for _ in range(4)], lambda: [f"{r.integers(256, 999)}.{r.integers(1, 99)}.{r.integers(1, 99)}.{r.integers(256, 999)}"],
+            lambda: [f"GB{digits(2)}" + "".join(r.choice(list("ABCDEFGHKLMNPRSTWZ"), 4)) + digits(13)], lambda: [f"{digits(2)}-{digits(3)}-{digits(3)}"], lambda: [f"000-{digits(2)}-{digits(4)}"],
+            lambda: [f"https://{word()}.org/{word()}/{digits(3)}"], lambda: ["".join(r.choice(list("ABCDEFGHKLMNPRSTWZ"), 2)) + digits(2), word()],
         ][kind]()
 
     docs, labels = [], []
@@ -446,7 +518,7 @@ def generated(n: int, seed: int) -> tuple[list[list[str]], list[list[int]]]:
                     got, own = secret()
                     own = [5 * v for v in own]
                 else:
-                    got = [None, email, ip, card, phone][kind]()
+                    got = [None, email, ip, card, phone, None, iban, ssn][kind]()
                     own = [kind] * len(got)
                 if kind == 5 and len(got) > 1 and got[-1].strip('"').isalpha():  # its value alone is repeated, here or later
                     used.append((got[-1:], own[-1:]))
