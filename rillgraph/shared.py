@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by a table in the shared folder, which outlives executors. Unlike a checkpoint it is computed once, is
+    columnar, and its size is known to the optimiser. ``sweep`` removes such tables."""
+    folder = fresh_folder(df.sparkSession, "saved")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def removed(spark: SparkSession, folder: str) -> None:
@@ -36,16 +37,29 @@ def removed(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_MADE: list[str] = []
+
+
 def fresh_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder's name in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """A new folder's name in the shared folder; sweep removes it."""
+    _MADE.append(f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
-@contextmanager
-def scratch(spark: SparkSession, kind: str) -> Iterator[str]:
-    """A new folder that is deleted afterwards, however it ends."""
-    folder = fresh_folder(spark, kind)
-    try:
-        yield folder
-    finally:
+def sweep(spark: SparkSession) -> int:
+    """Remove every folder this program made in the shared folder; results that haven't been read yet are lost. Gives their number."""
+    for folder in _MADE:
         removed(spark, folder)
+    n = len(_MADE)
+    _MADE.clear()
+    return n
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _MADE:
+        try:
+            sweep(spark)
+        except Exception:  # noqa: BLE001  the session may be gone already
+            _MADE.clear()
