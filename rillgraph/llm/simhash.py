@@ -207,6 +207,9 @@ def divided(bands: DataFrame, sample: DataFrame, s: Settings) -> DataFrame:
 def edges(reps: DataFrame, n: int, s: Settings) -> DataFrame:
     """(u, v) with v the root of u in some block, for fingerprints reps(rep, f0..f3) without equals."""
     choices = plan(n, s)
+    # each of these small rows becomes one of about 50 bytes for every choice
+    tasks = max(n * len(choices) * 50 // 128_000_000, min(n // 5000, 2 * reps.sparkSession.sparkContext.defaultParallelism))
+    reps = reps.repartition(1 + tasks, "rep")
     sample = blocks(reps.filter(F.pmod(F.xxhash64("rep"), F.lit(SAMPLED)) == 0), choices)
     bands = divided(blocks(reps, choices), sample, s).select("_block", "_cell", "rep", *PRINT)
 
