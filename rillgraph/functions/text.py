@@ -42,8 +42,16 @@ def jaccard(a: str | Column, b: str | Column) -> Column:
 
 #: Token lists by preset: blocked tokens count nothing, weak ones half; short ones (under ``short``) 0.3.
 PRESETS = {
-    "default": {"blocked": ["app", "config", "data", "env", "id", "key", "name", "path", "type", "url", "value", "var"], "weak": ["aws", "default", "dev", "main", "prod", "service", "staging", "test"], "short": 3},
-    "infra": {"blocked": ["db", "host", "id", "key", "name", "port", "type", "url"], "weak": ["api", "app", "aws", "main", "prod", "service"], "short": 3},
+    "default": {
+        "blocked": "and api app auth bool config data db dict dir dst env err file for get host id in info int key list log map msg name new not num old out password path port secret set setting src str temp test the token type url user val var".split(),
+        "weak": "aws azure backup bucket cache cloud cluster default dev development external gcp group instance internal local main master pool primary private prod production public queue read remote replica secondary service slave stage staging worker write".split(),
+        "short": 3,
+    },
+    "lenient": {
+        "blocked": "and bool config data dict dst err for get in info int list msg new not old out set setting src str the val var".split(),
+        "weak": "aws azure bucket cloud cluster db default dev gcp group host id instance key main name password path pool port prod type url user".split(),
+        "short": 3,
+    },
 }
 
 
@@ -73,6 +81,20 @@ def sufficient_overlap(a: str | Column, b: str | Column, least: int = 2, preset:
     return F.size(significant(F.array_intersect(col(a), col(b)), preset)) >= least
 
 
+def match_quality(a: str | Column, b: str | Column, preset: str = "default") -> Column:
+    """Struct of all that is said about two token lists: their significant tokens, what these share and how much of them that
+    is, the weighted share of all tokens, the blocked and the weak tokens of both, and whether the overlap is sufficient."""
+    p = PRESETS[preset]
+    a, b = col(a), col(b)
+    sa, sb = significant(a, preset), significant(b, preset)
+    both = F.array_sort(F.array_distinct(F.array_intersect(sa, sb)))
+    of = lambda tokens, words: F.filter(tokens, lambda t: t.isin(p[words]))
+    return F.struct(
+        sa.alias("significant_source"), sb.alias("significant_target"), both.alias("overlap"), F.size(both).alias("overlap_count"), jaccard(sa, sb).alias("jaccard"), weighted_overlap(a, b, preset).alias("weighted"),
+        of(a, "blocked").alias("blocked_source"), of(b, "blocked").alias("blocked_target"), of(a, "weak").alias("weak_source"), of(b, "weak").alias("weak_target"), (F.size(both) >= 2).alias("sufficient"),
+    )
+
+
 def glob_regex(pattern: str) -> str:
     """A glob as an anchored Java regular expression; everything but * ? and [..] is literal, case counts."""
     out = []
@@ -97,7 +119,7 @@ def glob_column(c: str | Column) -> Column:
 def expand_wildcard(node_id: str | Column, source: str | Column, target: str | Column) -> Column:
     """The target of a wildcard mapping for a matching id: what the source's first * matched replaces the target's."""
     one = F.regexp_replace(glob_column(source), r"\.\*", "(.*)")
-    got = F.regexp_extract(col(node_id), one, 1)
+    got = F.call_function("regexp_extract", col(node_id), one, F.lit(1))  # the pattern is a column
     return F.when(F.instr(col(target), "*") > 0, F.replace(col(target), F.lit("*"), got)).otherwise(col(target))
 
 
@@ -152,31 +174,44 @@ def visible(c: str | Column = "confidence", mode: str = "discovery", show_low: b
     return col(c) >= (0.5 if mode == "enforcement" else 0.2 if show_low else 0.3)
 
 
+def lowercase(c: Column) -> Column:
+    """Whether a text has letters with case and all of them are lower case."""
+    return (F.lower(c) == c) & (F.upper(c) != c)
+
+
+#: Values that stand where a variable's name could, in calls with a default.
+DEFAULT_WORDS = "admin app ascii critical default dev dev-secret development disabled enabled error false info localhost main myapp no none null off on prod production root secret staging test true user utf-8 utf8 warning yes".split()
+
+
 def valid_env_name(c: str | Column) -> Column:
-    """What extraction takes for a variable's name."""
+    """What extraction takes for a variable's name: two characters or more, no default value, number, path, URL or sentence, no
+    leading digit or dot, and not a plain lower-case word of more than six letters."""
     c = col(c)
-    plain = F.lower(c).isin("default", "false", "none", "null", "true", "undefined")
-    return (F.length(c) >= 2) & ~c.rlike(r"^[0-9.]+$") & ~plain & ~c.rlike(r"[\s/\\]") & ~c.rlike("^[a-z]+://") & ~c.rlike("^[a-z]{7,}$")
+    word = lowercase(c) & ~c.rlike("[_-]") & (F.length(c) > 6)
+    return (F.length(c) >= 2) & ~F.lower(c).isin(DEFAULT_WORDS) & ~c.rlike(r"^[\p{Nd}.]|[ /]") & ~word
 
 
 def checked_env_name(c: str | Column) -> Column:
-    """What the check gate takes for a variable's name; stricter."""
+    """What the check gate takes for a variable's name: three characters or more, no brackets, braces, dollars or backslashes,
+    none of some stand-ins (as they are written), and not a lower-case word without an underscore."""
     c = col(c)
-    generic = F.lower(c).isin("debug", "default", "env", "home", "key", "name", "path", "test", "user", "value")
-    return (F.length(c) >= 3) & ~c.rlike(r"[{}$<>%]") & ~generic & ~c.rlike("^[a-z0-9]+$")
+    return (F.length(c) >= 3) & ~c.rlike(r"[\\${}()\[\]]") & ~c.isin("VAR", "config", "data", "key", "name", "options", "value") & ~(lowercase(c) & (F.instr(c, "_") == 0))
 
 
 def valid_table_name(c: str | Column) -> Column:
+    """What extraction takes for a table's name: two characters or more, no word that a variable is likely to have, and not
+    a plain lower-case word, without dot, slash or underscore."""
     c = col(c)
-    false_hits = F.lower(c).isin("as", "by", "df", "from", "group", "inner", "into", "join", "left", "on", "order", "outer", "right", "select", "set", "table", "temp", "the", "this", "tmp", "values", "where", "with")
-    return (F.length(c) >= 2) & ~false_hits & ~c.rlike(r"^[a-z]{1,3}$") & ~c.rlike(r"[\s{}]")
+    stand_in = F.lower(c).isin("data", "file", "input", "output", "path", "source", "table", "target", "temp", "tmp")
+    return (F.length(c) >= 2) & ~stand_in & ~(lowercase(c) & ~c.rlike("[._/]"))
 
 
-IGNORED_PARTS = [".git", ".tox", ".venv", "__pycache__", "build", "dist", "node_modules", "site-packages", "test", "tests", "venv"]
+IGNORED_PARTS = [".git", ".tox", ".venv", "__pycache__", "__tests__", "build", "corpus", "dist", "e2e", "e2e_live", "fixtures", "node_modules", "site-packages", "test", "tests", "venv"]
 
 
 def ignored_path(c: str | Column, parts: list[str] = IGNORED_PARTS) -> Column:
-    return F.arrays_overlap(F.split(F.lower(col(c)), "/"), F.array(*map(F.lit, parts)))
+    """Whether a part of a path, whatever its case, is one of those; backslashes divide parts too."""
+    return F.arrays_overlap(F.split(F.lower(col(c)), r"[/\\]"), F.array(*map(F.lit, parts)))
 
 
 def suggest_patterns(c: str | Column) -> Column:
@@ -206,7 +241,20 @@ def source_format(pattern: str | Column) -> Column:
 
 def js_framework(c: str | Column) -> Column:
     c = col(c)
-    return F.when(c.startswith("NEXT_PUBLIC_"), "nextjs").when(c.startswith("VITE_"), "vite").when(c.startswith("REACT_APP_"), "create-react-app")
+    return F.when(c.startswith("NEXT_"), "nextjs").when(c.startswith("VITE_"), "vite").when(c.startswith("REACT_APP_"), "create-react-app")
+
+
+def js_public(c: str | Column) -> Column:
+    """Whether bundlers put a variable into what browsers get."""
+    return col(c).rlike("^(NEXT_PUBLIC_|VITE_|REACT_APP_)")
+
+
+def selector_hash(c: str | Column) -> Column:
+    """Eight hexadecimal digits of a label selector (a map of strings), the same whatever the labels' order: the MD5 of its JSON with
+    sorted keys and a space after each comma and colon."""
+    q = lambda x: F.to_json(F.array(x)).substr(F.lit(2), F.length(F.to_json(F.array(x))) - 2)
+    pairs = F.transform(F.array_sort(F.map_entries(col(c))), lambda e: F.concat(q(e["key"]), F.lit(": "), q(e["value"])))
+    return F.substring(F.md5(F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))), 1, 8)
 
 
 def hierarchy(c: str | Column) -> Column:
