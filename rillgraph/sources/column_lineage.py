@@ -1,7 +1,8 @@
 """Columns that PySpark code reads and writes, and which come from which.
 
 Each file is one row in and its references out, in Arrow batches: names bound to tables, SQL strings, then method calls with
-balanced brackets. A written column comes from those read in the same call, or on the line before or after if there are none.
+balanced brackets. A written column comes from those read in the same call; if there are none, from those on its line, and only
+then from those on the line before or after.
 
 Rows: (path, kind, column, table, context, line, source). kind: read, write, flow (source to column) or dynamic (a column
 known only when the code runs; column holds the code). Null texts give nothing; each row comes once, at its first line.
@@ -10,6 +11,8 @@ known only when the code runs; column holds the code). Null texts give nothing;
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -112,6 +115,17 @@ def _sql_rows(sql: str) -> Iterator[tuple]:
             yield "read", c, t, "sql_group_by", None
 
 
+def _name_before(text: str, at: int) -> str:
+    """The name that ends before a place, white space and line continuations aside; empty if another sign stands there."""
+    end = at
+    while end and text[end - 1] in " \t\r\n\\":
+        end -= 1
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] == "_"):
+        start -= 1
+    return text[start:end]
+
+
 def references(text: str) -> list[tuple]:
     """(kind, column, table, context, line, source) of one file."""
     rows: list[tuple] = []
@@ -119,10 +133,14 @@ def references(text: str) -> list[tuple]:
     for new, old in _CHAIN.findall(text):
         if old in table:
             table.setdefault(new, table[old])
-    line = lambda at: text.count("\n", 0, at) + 1
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    line = lambda at: bisect_right(starts, at)
+    read_at: dict[int, dict[str, None]] = defaultdict(dict)
 
     def add(kind, column, tab, context, at, source=None):
         rows.append((kind, column, tab, context, at, source))
+        if kind == "read":
+            read_at[at][column] = None
 
     for m in _SQL.finditer(text):
         at = line(m.start())
@@ -132,8 +150,7 @@ def references(text: str) -> list[tuple]:
                 add("flow", column, None, context, at, s)
     for m in _CALL.finditer(text):
         name, body, at = m[1], _inside(text, m.end()), line(m.start())
-        before = re.search(r"(\w+)\s*\\?\s*$", text[max(0, m.start() - 80) : m.start()])
-        tab = table.get(before[1]) if before else None
+        tab = table.get(_name_before(text, m.start()))
         args = split_arguments(body)
         context = {"where": "filter", "groupby": "groupBy", "sort": "orderBy"}.get(name, name)
         reads: list[str] = []
@@ -171,7 +188,7 @@ def references(text: str) -> list[tuple]:
                     out.append((alias[1], [c.split(".")[-1] for c in inner]))
         for column, sources in out:
             add("write", column, None, context, at)
-            near = dict.fromkeys(sources) or dict.fromkeys(c for k, c, _, _, n, _ in rows if k == "read" and abs(n - at) <= 1)
+            near = dict.fromkeys(sources) or read_at.get(at) or {**read_at.get(at - 1, {}), **read_at.get(at + 1, {})}
             for s in near:
                 add("flow", column, None, context, at, s)
     seen: dict[tuple, tuple] = {}

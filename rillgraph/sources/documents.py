@@ -7,6 +7,8 @@ Every function returns (path, kind, a, b, c): kind 'node' with id, name, type or
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -193,9 +195,9 @@ def kubernetes_rows(path: str, text: str) -> Emit:
                         yield "node", other, target, kind_
                         yield "edge", me, other, "reads"
         if kind == "Service" and isinstance(spec.get("selector"), dict):
-            label = ",".join(f"{k}={v}" for k, v in sorted(spec["selector"].items()))
-            yield "node", f"k8s:{ns}/selector/{label}", label, "infra_resource"
-            yield "edge", me, f"k8s:{ns}/selector/{label}", "routes_to"
+            short = hashlib.md5(json.dumps(spec["selector"], sort_keys=True).encode()).hexdigest()[:8]  # as text.selector_hash
+            yield "node", f"k8s:{ns}/selector/{short}", ",".join(f"{k}={v}" for k, v in sorted(spec["selector"].items())), "infra_resource"
+            yield "edge", me, f"k8s:{ns}/selector/{short}", "routes_to"
         if kind == "Ingress":
             backs = [_get(p, "backend") for r in _list(spec.get("rules")) for p in _list(_get(r, "http", "paths"))] + [spec.get("defaultBackend"), spec.get("backend")]
             for b in backs:
@@ -298,6 +300,8 @@ def ingested(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _union([openlineage(events(on("openlineage").filter(F.contains("text", F.lit("eventType"))))), dbt_manifest(on("dbt_manifest")), terraform_plan(on("terraform_plan")), package_json(on("package_json")), yaml_documents(files)])
     n, e = graph(rows)
     n2, e2 = extract.graph(files)
+    n3, e3 = graph(extract.dbt_columns(on("dbt_sql")))
+    n, e = n.unionByName(n3), e.unionByName(e3)
     cols = ["id", "name", "type", "path", "metadata", "tokens"]
     nodes = n.select(*cols).unionByName(n2.select(*cols))
     edges = e.unionByName(e2.select(*e.columns))

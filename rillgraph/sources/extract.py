@@ -5,17 +5,22 @@ rule is wrapped as \\G(gap)(rule): consecutive matches then cover the text up to
 the line of every match in linear time. Rules of one scope keep a name once in a file, by a window within the file.
 
 Defined results: files with null path or text give nothing, empty files their own node; equal rows of files give the same
-nodes and edges once; names are used as written; other columns of files aren't read.
+nodes and edges once; names are used as written; other columns of files aren't read. Minified scripts give their file's node
+only.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from .files import LANGUAGES
+from .column_lineage import split_arguments
+from .files import LANGUAGES, minified
 from .rules import RULES, SPARK_FILE, Rule
 
 
@@ -45,7 +50,7 @@ def hits(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """
     text = F.col("text")
     spark = text.rlike(SPARK_FILE)
-    on = {k: F.col("path").rlike(LANGUAGES[k]) for k in {r.language for r in rules}}
+    on = {k: F.col("path").rlike(LANGUAGES[k]) & (~minified() if k == "javascript" else F.lit(True)) for k in {r.language for r in rules}}
     some = [F.when((on[r.language] & spark if r.check == "table" or r.scope == "spark-conf" else on[r.language]) & text.rlike(r.pattern), F.lit(i)) for i, r in enumerate(rules)]
     asked = files.filter("path is not null and text is not null").select("path", "text", F.explode(F.array_compact(F.array(*some))).alias("rule"))
     rows = asked.select("path", "rule", F.explode(found(text, _by_rule(rules, lambda r: r.pattern))).alias("h")).select("path", "rule", "h.name", "h.line")
@@ -73,10 +78,26 @@ def graph(files: DataFrame, rules: list[Rule] = RULES) -> tuple[DataFrame, DataF
     more = settings(files).unionByName(dotenv(files)).select("path", F.lit(None).cast("int").alias("line"), "name", F.concat(F.lit("env:"), "name").alias("id"), F.lit("env_var").alias("type"), F.lit("reads").alias("edge"), F.lit(1.0).alias("confidence"), "source")
     more = more.join(ids.filter("type = 'env_var'").select("path", "id"), ["path", "id"], "left_anti")
     ids = ids.unionByName(more.select(*ids.columns))
-    meta = F.to_json(F.struct("line", "source")).alias("metadata")
+    table, script = F.col("source").rlike("^(spark|sql|delta)_"), F.col("source").startswith("js_") & (F.col("type") == "env_var")
+    meta = F.to_json(
+        F.struct(
+            "line", "source", F.when(table & (F.col("type") == "data_asset"), X.source_format(F.concat(F.col("source"), F.lit(" "), F.col("name")))).alias("format"),
+            F.when(script, X.js_framework("name")).alias("framework"), F.when(script, X.js_public("name")).alias("public"),
+        )
+    ).alias("metadata")
+    ids = ids.unionByName(next_nodes(files).select(*ids.columns))
     own = files.filter("path is not null").select(F.concat(F.lit("file://"), "path").alias("id"), F.col("path").alias("name"), F.lit("code_file").alias("type"), "path", F.lit(None).cast("string").alias("metadata")).distinct()
     nodes = own.unionByName(ids.select("id", "name", "type", "path", meta))
-    edges = ids.select(F.concat(F.lit("file://"), "path").alias("source_id"), F.col("id").alias("target_id"), F.col("edge").alias("type"), "confidence", meta)
+    # what a dbt model refers to is its own; the file only contains it
+    stem = F.regexp_extract("path", r"([^/]*)\.sql$", 1)
+    own_ref = F.col("source").isin("dbt_ref", "dbt_source")
+    model = files.filter(F.col("path").rlike(LANGUAGES["dbt_sql"]) & F.contains("text", F.lit("{{"))).select("path", stem.alias("name"), "text").distinct()
+    config = F.regexp_extract("text", r"\{\{\s*config\s*\(([^)]*)\)", 1)
+    kept = F.regexp_extract(config, r"materialized\s*=\s*['\"]([^'\"]+)['\"]", 1)
+    kind = F.when(kept != "", kept).when(F.contains(config, F.lit("materialized")), "derived")
+    nodes = nodes.unionByName(model.select(F.concat(F.lit("data:model:"), "name").alias("id"), "name", F.lit("data_asset").alias("type"), "path", F.to_json(F.struct(F.lit("model").alias("resource_type"), kind.alias("materialized"))).alias("metadata")))
+    edges = ids.select(F.when(own_ref, F.concat(F.lit("data:model:"), stem)).otherwise(F.concat(F.lit("file://"), "path")).alias("source_id"), F.col("id").alias("target_id"), F.col("edge").alias("type"), "confidence", meta)
+    edges = edges.unionByName(model.select(F.concat(F.lit("file://"), "path").alias("source_id"), F.concat(F.lit("data:model:"), "name").alias("target_id"), F.lit("contains").alias("type"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("metadata")))
     refs = terraform_references(files).select("source_id", "target_id", "type", F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("metadata"))
     return nodes.withColumn("tokens", X.tokenize("name")), edges.unionByName(refs)
 
@@ -144,3 +165,51 @@ def next_routes(files: DataFrame) -> DataFrame:
     route = F.regexp_extract("path", r"(?:^|/)(?:pages|app)/api/(.+?)(?:/route)?\.[cm]?[jt]sx?$", 1)
     name = F.regexp_replace(route, "(?:^|/)index$", "")
     return files.select("path", name.alias("name"), (route != "").alias("_is")).filter("_is").select("path", F.concat(F.lit("api:/api/"), "name").alias("id"), "name")
+
+
+def next_nodes(files: DataFrame) -> DataFrame:
+    """What paths say of a Next.js project: a node for each API route and each configuration file, contained in the file."""
+    config = files.filter(F.col("path").rlike(r"(?:^|/)next\.config\.[cm]?[jt]s$")).select("path", F.concat(F.lit("config:nextjs:"), F.substring_index("path", "/", -1)).alias("id"), F.lit("next.config").alias("name"))
+    rows = next_routes(files).select("*", F.lit("code_entity").alias("type"), F.lit("next_route").alias("source")).unionByName(config.select("*", F.lit("config_key").alias("type"), F.lit("next_config").alias("source")))
+    return rows.distinct().select("path", F.lit(1).alias("line"), "name", "id", "type", F.lit("contains").alias("edge"), F.lit(1.0).alias("confidence"), "source")
+
+
+def selected(sql: str) -> list[str]:
+    """Names of what the outermost SELECT gives: aliases and plain columns; nothing for set operations and other statements."""
+    sql = re.sub(r"\{\{\s*config\s*\([^)]*\)\s*\}\}|\{%.*?%\}|\{#.*?#\}|--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S)
+    sql = re.sub(r"\{\{.*?\}\}", "x", sql, flags=re.S)
+    depth, begin, end = 0, -1, len(sql)
+    for m in re.finditer(r"'(?:[^']|'')*'|[()]|\b(?:select|from|union|intersect|except)\b", sql, re.I):
+        word = m[0].lower()
+        if word in "()":
+            depth += 1 if word == "(" else -1
+        elif depth == 0 and word == "select" and begin < 0:
+            begin = m.end()
+        elif depth == 0 and word == "from" and begin >= 0 and end == len(sql):
+            end = m.start()
+        elif depth == 0 and word in ("union", "intersect", "except"):
+            return []
+    if begin < 0:
+        return []
+    out = []
+    for item in split_arguments(re.sub(r"(?i)^\s*distinct\b", "", sql[begin:end])):
+        m = re.search(r"(?is)\bas\s+[\"`]?(\w+)[\"`]?$", item) or re.search(r"(?is)[)\w'\"]\s+[\"`]?([A-Za-z_]\w*)[\"`]?$", item) or re.fullmatch(r"(?:\w+\.)*[\"`]?([A-Za-z_]\w*)[\"`]?", item)
+        if m and m[1].lower() not in ("end", "x"):
+            out.append(m[1])
+    return list(dict.fromkeys(out))
+
+
+def dbt_columns(files: DataFrame) -> DataFrame:
+    """Rows (path, kind, a, b, c) as documents give: the columns of each model and that the model contains them."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if p is not None and t:
+                    model = p.rsplit("/", 1)[-1].removesuffix(".sql")
+                    for c in selected(t):
+                        out += [(p, "node", f"column:{model}/{c}", c, "data_asset"), (p, "edge", f"data:model:{model}", f"column:{model}/{c}", "contains")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(5)], ["path", "kind", "a", "b", "c"])
+
+    return files.filter(F.col("path").rlike(LANGUAGES["dbt_sql"])).select("path", "text").mapInArrow(run, "path string, kind string, a string, b string, c string")

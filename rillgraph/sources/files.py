@@ -29,16 +29,30 @@ def minified(text: str | Column = "text") -> Column:
     return ((F.length(head) > 1000) & (F.instr(head, "\n") == 0)) | F.exists(F.slice(F.split(t, "\n"), 1, 10), lambda x: F.length(x) > 10_000)
 
 
-def discover(spark: SparkSession, root: str, glob: str | None = None, max_bytes: int = MAX_BYTES, repo: str | None = None) -> DataFrame:
+def _relative(root: str) -> Column:
+    return F.regexp_replace(F.col("path"), "^(?:[a-z]+:)?/*" + root.rstrip("/").split(":", 1)[-1].strip("/") + "/", "")
+
+
+def listed(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, length, modified) of the files under root that extraction reads, without reading any."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("length") <= max_bytes)
+    return rows.select(_relative(root).alias("path"), "length", F.col("modificationTime").alias("modified")).filter(~skipped())
+
+
+def discover(spark: SparkSession, root: str, glob: str | None = None, max_bytes: int = MAX_BYTES, repo: str | None = None, only: DataFrame | None = None) -> DataFrame:
     """(path, text, length, hash, modified, source_repo) of the files under root that extraction reads; path is relative.
 
-    The size limit is pushed down to the listing, so large files are never read.
+    The size limit is pushed down to the listing, so large files are never read. With ``only`` (a table of relative paths) no others are.
     """
+    if only is not None:
+        base = root.rstrip("/")
+        names = [f"{base}/{r[0]}" for r in only.collect()]  # the changed files' names, which the reader needs on the driver
+        if not names:
+            return spark.createDataFrame([], "path string, text string, length bigint, hash string, modified timestamp, source_repo string")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    base = root.rstrip("/")
-    relative = F.regexp_replace(F.col("path"), "^(?:[a-z]+:)?/*" + base.split(":", 1)[-1].strip("/") + "/", "")
+    relative, root = _relative(root), root if only is None else names
     rows = reader.load(root).filter(F.col("length") <= max_bytes).select(relative.alias("path"), "content", "length", F.col("modificationTime").alias("modified"))
     return rows.filter(~skipped()).select("path", F.decode("content", "UTF-8").alias("text"), "length", F.hex(F.xxhash64("content")).alias("hash"), "modified", F.lit(repo).cast("string").alias("source_repo"))
 

@@ -98,6 +98,8 @@ RULES = [
     _table("spark_read_table", rf"\bspark\s*(?:\.read(?:Stream)?\s*)?\.\s*table\s*\(\s*{Q}({NQ}){Q}", "reads", 90),
     _table("spark_read_path", rf"{_READ}\.(?:parquet|csv|json|orc|text|avro|load|table)\s*\(\s*(?:path\s*=\s*)?{Q}({NQ}){Q}", "reads", 80),
     _table("spark_read_jdbc", rf"\bdbtable{Q}\s*,\s*{Q}({NQ}){Q}", "reads", 60),
+    _table("spark_read_jdbc_call", rf"{_READ}\.jdbc\s*\(\s*(?:[^,()]|\([^()]*\))*,\s*(?:table\s*=\s*)?{Q}({NQ}){Q}", "reads", 60),
+    _table("spark_write_jdbc", rf"{_WRITE}\.jdbc\s*\(\s*(?:[^,()]|\([^()]*\))*,\s*(?:table\s*=\s*)?{Q}({NQ}){Q}", "writes", 60),
     _table("spark_write_table", rf"\.(?:saveAsTable|insertInto|writeTo|toTable)\s*\(\s*{Q}({NQ}){Q}", "writes", 90),
     _table("spark_write_path", rf"{_WRITE}\.(?:parquet|csv|json|orc|text|avro|save|start)\s*\(\s*(?:path\s*=\s*)?{Q}({NQ}){Q}", "writes", 80),
     _table("sql_read", rf"(?i)\b(?:from|join|using)\s+{_SQL_NAME}(?=[\s\"'`,);]|$)(?!\s+import\b)", "reads", 40),
