@@ -115,9 +115,13 @@ def owner_regex(pattern: str) -> str:
     return ("^" if anchored else "(^|.*/)") + body + "(/.*)?$"
 
 
-def reviewers(files: DataFrame, owners: list[tuple[str, list[str]]], blame: DataFrame | None = None, n: int = 5) -> DataFrame:
+TEAMS = {"dbt": "@data-team", "infra": "@platform-team", "k8s": "@platform-team", "kubernetes": "@platform-team", "pipelines": "@data-team", "src/data": "@data-team", "terraform": "@platform-team"}
+
+
+def reviewers(files: DataFrame, owners: list[tuple[str, list[str]]], blame: DataFrame | None = None, n: int = 5, teams: dict[str, str] = TEAMS) -> DataFrame:
     """(reviewer, score, reasons): 10 for each file a reviewer owns (the last matching rule decides); where no rule matches,
-    the three authors with the most lines of blame(path, author, lines), scored by lines. A top-n report."""
+    the three authors with the most lines of blame(path, author, lines), scored by lines; 5 for each team whose folder a file lies in, if
+    neither names anyone. Names without a space get an @. A top-n report."""
     owned = F.lit(None).cast("array<string>")
     for pattern, names in owners:
         owned = F.when(F.col("path").rlike(owner_regex(pattern)), F.array(*map(F.lit, names))).otherwise(owned)
@@ -125,11 +129,26 @@ def reviewers(files: DataFrame, owners: list[tuple[str, list[str]]], blame: Data
     rows = f.filter("_o is not null").select(F.explode("_o").alias("reviewer"), F.lit(10).cast("long").alias("points"), F.concat(F.lit("owns "), "path").alias("reason"))
     if blame is not None:
         w = Window.partitionBy("path").orderBy(F.desc("lines"), "author")
-        top = blame.withColumn("_n", F.row_number().over(w)).filter("_n <= 3").join(f.filter("_o is null").select("path"), "path", "left_semi")
+        top = blame.filter("author <> ''").withColumn("_n", F.row_number().over(w)).filter("_n <= 3").join(f.filter("_o is null").select("path"), "path", "left_semi")
         rows = rows.unionByName(top.select(F.col("author").alias("reviewer"), F.col("lines").cast("long").alias("points"), F.concat(F.lit("wrote "), "path").alias("reason")))
+    if rows.isEmpty():
+        team = F.lit(None).cast("string")
+        for folder, name in sorted(teams.items(), reverse=True):
+            team = F.when(F.col("path").startswith(folder), name).otherwise(team)
+        rows = files.select(team.alias("reviewer")).filter("reviewer is not null").distinct().select("reviewer", F.lit(5).cast("long").alias("points"), F.lit("team of the folder").alias("reason"))
+    name = F.trim("reviewer")
+    rows = rows.withColumn("reviewer", F.when(name.contains(" ") | name.startswith("@"), name).otherwise(F.concat(F.lit("@"), name)))
     return rows.groupBy("reviewer").agg(F.sum("points").alias("score"), F.array_sort(F.collect_set("reason")).alias("reasons")).orderBy(F.desc("score"), "reviewer").limit(n)
 
 
+def source_file(nodes: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, path) for asked(id): the node's own file, else the smallest file that contains, reads or provisions it."""
+    own = asked.join(nodes.select("id", "path"), "id").filter("path is not null").groupBy("id").agg(F.min("path").alias("path"))
+    rest = asked.join(own, "id", "left_anti")
+    files = edges.filter(F.col("source_id").startswith("file://") & F.col("type").isin("contains", "provisions", "reads")).select(F.col("target_id").alias("id"), F.substring("source_id", 8, 1 << 30).alias("path"))
+    return own.unionByName(rest.join(files, "id").groupBy("id").agg(F.min("path").alias("path")))
+
+
 def hover(nodes: DataFrame, edges: DataFrame, path: str, line: int) -> DataFrame:
     """The node at a line of a file with its provider, if any."""
     at = nodes.filter((F.col("path") == path) & (F.get_json_object("metadata", "$.line").cast("int") == line)).select("id", "name", "type")
@@ -150,8 +169,8 @@ def orphan_diagnostics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     pairs = lone.withColumn("_w", F.explode("_t")).join(outs.withColumn("_w", F.explode("_o")), "_w").groupBy("id", "hint").agg(F.count("*").alias("_n"))
     w = Window.partitionBy("id").orderBy(F.desc("_n"), "hint")
     best = pairs.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("id", "hint")
-    first = outs.agg(F.min("hint").alias("_first"))
-    return lone.join(best, "id", "left").crossJoin(first).select("id", "name", F.coalesce("hint", "_first").alias("hint"))
+    first = outs.agg(F.min("hint")).first()[0]
+    return lone.join(best, "id", "left").select("id", "name", F.coalesce("hint", F.lit(first).cast("string")).alias("hint"))
 
 
 def accuracy(expected: DataFrame, found: DataFrame) -> DataFrame:
@@ -169,7 +188,3 @@ def envelope(rows: DataFrame, query: str) -> DataFrame:
     """One JSON document of a result's rows, as the programs' interfaces answer."""
     body = F.to_json(F.struct(F.lit(query).alias("query"), F.lit("ok").alias("status"), F.col("n").alias("count"), F.col("data")))
     return rows.agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(*rows.columns))).alias("data")).select(body.alias("response"))
-
-
-def level(c: str | Column = "confidence") -> Column:
-    return confidence_level(c)

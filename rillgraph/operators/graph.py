@@ -1,7 +1,12 @@
 """Graph operators on edges(source_id, target_id, type) and nodes: closures, paths, cycles, orphans, statistics.
 
-Fix-points iterate over DataFrames: each level joins the frontier with the edges, drops what was seen, and is written to
-the checkpoint folder, so the lineage stays short and lost executors cost one level. All seeds of a call run together.
+Fix-points iterate over DataFrames: each level joins the frontier with the edges, drops what was seen in the same shuffle that makes
+the level's rows distinct, and is written to the shared folder, so the lineage stays short and lost executors cost one level. The
+edges are shuffled once, by their first end, made distinct in place and kept with that partitioning while the levels run; a frontier
+too large to broadcast is shuffled to them. All seeds of a call run together.
+
+Defined results: edges with a null end and loops lead nowhere, null seeds are left out, equal edges and seeds count once, tables may
+be empty; extra columns aren't read, or pass through where whole rows are returned.
 """
 
 from __future__ import annotations
@@ -30,8 +35,8 @@ def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     return counted(df, df.count(), most)
 
 
-def impact_edges(edges: DataFrame, policy: str = "core", upstream: bool = False) -> DataFrame:
-    """(u, v): a change of u reaches v, by the policy; turned around for upstream."""
+def impact_edges(edges: DataFrame, policy: str = "core", upstream: bool = False, distinct: bool = True) -> DataFrame:
+    """(u, v): a change of u reaches v, by the policy; turned around for upstream. Closures make them distinct themselves."""
     rules = POLICIES[policy]
     s, t = F.col("source_id"), F.col("target_id")
     if not rules:
@@ -40,79 +45,105 @@ def impact_edges(edges: DataFrame, policy: str = "core", upstream: bool = False)
         known = edges.filter(F.col("type").isin(rules["forward"] + rules["reverse"]))
         back = F.col("type").isin(rules["reverse"])
         out = known.select(F.when(back, t).otherwise(s).alias("u"), F.when(back, s).otherwise(t).alias("v"))
-    out = out.filter("u is not null and v is not null and u <> v").distinct()
+    out = out.filter("u is not null and v is not null and u <> v")
+    out = out.distinct() if distinct else out
     return out.select(F.col("v").alias("u"), F.col("u").alias("v")) if upstream else out
 
 
+def kept(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs(u, v), hashed by u in one shuffle and cached that way; a lost part is computed again. Unpersist when done."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select("u", "v").repartition(parts, "u").distinct().persist()
+
+
+def next_level(frontier: DataFrame, pairs: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
+    """(seed, node, depth) of what the frontier reaches in one step and isn't in seen; one shuffle serves both."""
+    step = frontier.join(pairs, F.col("node") == F.col("u")).select("seed", F.col("v").alias("node"), F.lit(depth).alias("depth"))
+    both = seen.select("seed", "node", "depth").unionByName(step).groupBy("seed", "node").agg(F.min("depth").alias("depth"))
+    return both.filter(F.col("depth") == depth)
+
+
 def closure(pairs: DataFrame, seeds: DataFrame, max_depth: int = -1, include_start: bool = False) -> DataFrame:
     """(seed, node, depth) of all that pairs(u, v) reach from seeds(seed), depth the least number of steps.
 
     max_depth -1 is unbounded, 0 empty. Seeds on a cycle don't return themselves unless include_start, which gives every
     seed at depth 0.
     """
-    pairs = saved(pairs.select("u", "v").repartition("u"))
+    pairs = kept(pairs)
     start = seeds.select("seed").filter("seed is not null").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
-    frontier = seen = saved(start)
-    levels, depth, rows = [seen], 0, seen.count()
-    while rows and (max_depth < 0 or depth < max_depth):
+    frontier = saved(start)
+    levels, depth = [frontier], 0
+    while max_depth < 0 or depth < max_depth:
         depth += 1
-        step = counted(frontier, rows).join(pairs, F.col("node") == F.col("u")).select("seed", F.col("v").alias("node")).distinct()
-        frontier = saved(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        rows = frontier.count()
-        if not rows:
+        frontier = saved(next_level(frontier, pairs, functools.reduce(DataFrame.unionByName, levels), depth))
+        if frontier.isEmpty():
             break
         levels.append(frontier)
-        seen = functools.reduce(DataFrame.unionByName, levels)
-        if len(levels) > 8:  # many short levels: one table instead of a long union
-            seen = saved(seen)
-            levels = [seen]
+        if len(levels) > 12:  # many short levels: one table instead of a long union
+            levels = [saved(functools.reduce(DataFrame.unionByName, levels))]
+    pairs.unpersist()
     out = functools.reduce(DataFrame.unionByName, levels)
     return out if include_start else out.filter("depth > 0")
 
 
 def impacted(edges: DataFrame, seeds: DataFrame, policy: str = "core", max_depth: int = -1) -> DataFrame:
-    return closure(impact_edges(edges, policy), seeds, max_depth)
+    return closure(impact_edges(edges, policy, distinct=False), seeds, max_depth)
 
 
 def upstream(edges: DataFrame, seeds: DataFrame, policy: str = "lineage", max_depth: int = -1) -> DataFrame:
-    return closure(impact_edges(edges, policy, upstream=True), seeds, max_depth)
+    return closure(impact_edges(edges, policy, upstream=True, distinct=False), seeds, max_depth)
 
 
 def descendants(edges: DataFrame, seeds: DataFrame, max_depth: int = -1) -> DataFrame:
-    return closure(impact_edges(edges, "untyped"), seeds, max_depth)
+    return closure(impact_edges(edges, "untyped", distinct=False), seeds, max_depth)
 
 
 def ancestors(edges: DataFrame, seeds: DataFrame, max_depth: int = -1) -> DataFrame:
-    return closure(impact_edges(edges, "untyped", upstream=True), seeds, max_depth)
+    return closure(impact_edges(edges, "untyped", upstream=True, distinct=False), seeds, max_depth)
 
 
 def blast_radius(edges: DataFrame, seeds: DataFrame, policy: str = "core", max_depth: int = -1) -> DataFrame:
-    """(seed, impacted, artifacts): number and sorted ids of what each seed impacts; seeds without impact have 0."""
-    got = impacted(edges, seeds, policy, max_depth).groupBy("seed").agg(F.count("*").alias("impacted"), F.array_sort(F.collect_set("node")).alias("artifacts"))
-    return seeds.select("seed").distinct().join(got, "seed", "left").select("seed", F.coalesce("impacted", F.lit(0)).alias("impacted"), F.coalesce("artifacts", F.array().cast("array<string>")).alias("artifacts"))
+    """(seed, impacted): how many each seed impacts; seeds without impact have 0. Which they are, a row each, ``impacted`` gives: a
+    list of a whole closure might not fit a row."""
+    got = impacted(edges, seeds, policy, max_depth).groupBy("seed").agg(F.count("*").alias("impacted"))
+    return seeds.select("seed").distinct().join(got, "seed", "left").select("seed", F.coalesce("impacted", F.lit(0)).alias("impacted"))
+
+
+def blast_artifacts(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(bucket, node) of all that is reached from any seed, whatever the edges' types."""
+    return descendants(edges, seeds).select("node").distinct().select(blast_bucket("node").alias("bucket"), "node")
 
 
 def blast_breakdown(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(bucket, count, artifacts) of all that is reached from any seed, whatever the edges' types."""
-    return descendants(edges, seeds).select("node").distinct().groupBy(blast_bucket("node").alias("bucket")).agg(F.count("*").alias("count"), F.array_sort(F.collect_set("node")).alias("artifacts"))
+    """(bucket, count) of blast_artifacts."""
+    return blast_artifacts(edges, seeds).groupBy("bucket").agg(F.count("*").alias("count"))
 
 
 def shortest_paths(pairs: DataFrame, seeds: DataFrame, target: str, max_depth: int = 15) -> DataFrame:
-    """(seed, path): for each seed that reaches target one shortest path; ties go to the smallest parent at each step."""
-    pairs = saved(pairs.select("u", "v").repartition("u"))
-    frontier = saved(seeds.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.array("seed").alias("path")))
-    seen = frontier.select("seed", "node")
-    found = [frontier.filter(F.col("node") == target)]
-    for _ in range(max_depth):
-        step = frontier.join(pairs, F.col("node") == F.col("u")).groupBy("seed", F.col("v").alias("_v")).agg(F.min_by("path", "u").alias("path"))
-        step = step.select("seed", F.col("_v").alias("node"), F.concat("path", F.array("_v")).alias("path"))
-        frontier = saved(step.join(seen, ["seed", "node"], "left_anti"))
+    """(seed, path): for each seed that reaches target one shortest path; ties go to the smallest parent at each step.
+
+    Levels hold each node's parent only; the paths of the seeds that got there are put together backwards at the end.
+    """
+    pairs = kept(pairs)
+    frontier = saved(seeds.select("seed").filter("seed is not null").distinct().select("seed", F.col("seed").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")))
+    levels = [frontier]
+    for depth in range(1, max_depth + 1):
+        step = frontier.filter(F.col("node") != target).join(pairs, F.col("node") == F.col("u")).select("seed", F.col("v").alias("node"), F.col("u").alias("parent"), F.lit(depth).alias("depth"))
+        both = functools.reduce(DataFrame.unionByName, levels).unionByName(step).groupBy("seed", "node").agg(F.min(F.struct("depth", "parent")).alias("m"))
+        frontier = saved(both.filter(F.col("m.depth") == depth).select("seed", "node", "m.parent", "m.depth"))
         if frontier.isEmpty():
             break
-        seen = saved(seen.unionByName(frontier.select("seed", "node")))
-        found.append(frontier.filter(F.col("node") == target))
-        frontier = frontier.filter(F.col("node") != target)
-    return functools.reduce(DataFrame.unionByName, found).select("seed", "path")
+        levels.append(frontier)
+    pairs.unpersist()
+    path: DataFrame | None = None
+    for depth in range(len(levels) - 1, -1, -1):
+        level = levels[depth]
+        if path is not None:
+            back = path.join(level.select("seed", F.col("node").alias("_at"), "parent"), ["seed", "_at"])
+            path = back.select("seed", F.concat(F.array("_at"), "path").alias("path"), F.col("parent").alias("_at"))
+        ends = level.filter(F.col("node") == target).select("seed", F.array("node").alias("path"), F.col("parent").alias("_at"))
+        path = ends if path is None else path.unionByName(ends)
+    return path.select("seed", "path")
 
 
 def simple_paths(pairs: DataFrame, seeds: DataFrame, target: str | None = None, max_nodes: int = 20) -> DataFrame:
@@ -260,6 +291,17 @@ def file_dependencies(nodes: DataFrame, edges: DataFrame, path: str) -> DataFram
     return out.groupBy(bucket.alias("bucket")).agg(F.array_sort(F.collect_set("target_id")).alias("ids"))
 
 
+def search_artifacts(nodes: DataFrame, pattern: str, kind: str | None = None, n: int = 20) -> DataFrame:
+    """The first n nodes by id whose id or name contains pattern, ignoring case, of one type if given: a top-n report."""
+    got = find_nodes(nodes, pattern)
+    return (got.filter(F.col("type") == kind) if kind else got).orderBy("id").limit(n)
+
+
+def files_of(nodes: DataFrame) -> DataFrame:
+    """(path) of all files that nodes come from."""
+    return nodes.select("path").filter("path is not null").distinct()
+
+
 def lint(nodes: DataFrame, edges: DataFrame, max_length: int = 5) -> DataFrame:
     """(issue, subject) of orphans and short cycles."""
     lone = orphans(nodes, edges).select(F.lit("orphan").alias("issue"), F.col("id").alias("subject"))

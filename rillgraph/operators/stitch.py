@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions.score import score
 from ..functions.text import expand_wildcard, glob_column, glob_regex, hierarchy, jaccard, normalize, tokenize, tokenize_suggest
-from .graph import saved
+from ..shared import saved
+from .graph import small
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -25,6 +26,17 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     return keys(left, "left_id").join(keys(right, "right_id"), "_key").select("left_id", "right_id").distinct()
 
 
+def comparable(left: DataFrame, right: DataFrame, gram: int = 4) -> DataFrame:
+    """(left_id, right_id) of all pairs whose score can exceed 0: those of ``candidates``, and those where the left name's normal form, of
+    ``gram`` characters or more, is a part of the right's. These meet where a run of the right name is the left's beginning, so
+    no cross product is made."""
+    a = left.select(F.col("id").alias("left_id"), normalize("name").alias("_l")).filter(F.length("_l") >= gram).withColumn("_g", F.substring("_l", 1, gram))
+    runs = F.transform(F.sequence(F.lit(1), F.length("_r") - gram + 1), lambda k: F.substr(F.col("_r"), k, F.lit(gram)))
+    b = right.select(F.col("id").alias("right_id"), normalize("name").alias("_r")).filter(F.length("_r") >= gram).withColumn("_g", F.explode(F.array_distinct(runs)))
+    part = a.join(b, "_g").filter(F.contains("_r", "_l")).select("left_id", "right_id")
+    return candidates(left, right).unionByName(part).distinct()
+
+
 def scored(left: DataFrame, right: DataFrame, count_alternatives: bool = True) -> DataFrame:
     """Candidate pairs of provider nodes (left) and variables (right) with their score and struct ``result``."""
     pairs = candidates(left, right)
@@ -78,6 +90,22 @@ def active(suppressions: DataFrame, now: Column | None = None) -> DataFrame:
     return suppressions.filter(F.col("enabled") & (F.col("expires_at").isNull() | (F.col("expires_at") > now)))
 
 
+def listed(suppressions: DataFrame, with_expired: bool = False, now: Column | None = None) -> DataFrame:
+    """The rules, without expired ones unless they are asked for; disabled ones stay."""
+    now = F.current_timestamp() if now is None else now
+    return suppressions if with_expired else suppressions.filter(F.col("expires_at").isNull() | (F.col("expires_at") > now))
+
+
+def without_expired(suppressions: DataFrame, now: Column | None = None) -> DataFrame:
+    """What is left when expired rules are cleared."""
+    return listed(suppressions, False, now)
+
+
+def rules_for(suppressions: DataFrame, source_id: str, target_id: str, now: Column | None = None) -> DataFrame:
+    """All active rules that match a pair."""
+    return active(suppressions, now).filter(F.rlike(F.lit(source_id), glob_column("source_pattern")) & F.rlike(F.lit(target_id), glob_column("target_pattern")))
+
+
 def suppressed(edges: DataFrame, suppressions: DataFrame, now: Column | None = None) -> DataFrame:
     """Edges that a rule suppresses, with rule and reason of the first by id."""
     rules = active(suppressions, now).select(F.col("id").alias("rule"), "source_pattern", "target_pattern", "reason")
@@ -106,12 +134,24 @@ def auto_suppressed(edges: DataFrame, rules: list[tuple[str, str, str]]) -> Data
     return edges
 
 
-def detected_packs(files: DataFrame, indicators: DataFrame) -> DataFrame:
-    """(pack, matched) for indicators(pack, mode all|any, path_glob, content) over files(path, text): packs that apply."""
-    hit = F.rlike("path", glob_column("path_glob")) & (F.col("content").isNull() | F.contains("text", "content"))
-    pairs = indicators.crossJoin(files.select("path", "text")).withColumn("_hit", hit)
-    each = pairs.groupBy("pack", "mode", "path_glob", "content").agg(F.bool_or("_hit").alias("_hit"))
-    return each.groupBy("pack").agg(F.when(F.first("mode") == "all", F.bool_and("_hit")).otherwise(F.bool_or("_hit")).alias("matched"))
+def detected_packs(files: DataFrame, indicators: DataFrame, most: int = 10_000) -> DataFrame:
+    """(pack, matched) for indicators(pack, mode all|any, path_glob, content) over files(path, text): packs that apply.
+
+    Indicators are written by people; up to ``most`` of them (more raise an error) fold into one aggregation over one scan of the files."""
+    asked = indicators.select("pack", "mode", "path_glob", "content").distinct().limit(most + 1).collect()
+    if len(asked) > most:
+        raise ValueError(f"more than {most} indicators")
+    if not asked:
+        return indicators.select("pack", F.lit(False).alias("matched"))
+
+    def hit(r):
+        path = F.col("path").rlike(glob_regex(r["path_glob"]))
+        return path if r["content"] is None else path & F.contains("text", F.lit(r["content"]))
+
+    one = files.agg(F.array(*(F.coalesce(F.bool_or(hit(r)), F.lit(False)) for r in asked)).alias("_hits"))
+    known = F.array(*(F.struct(F.lit(r["pack"]).alias("pack"), F.lit(r["mode"]).alias("mode")) for r in asked))
+    each = one.select(F.explode(F.arrays_zip(known.alias("of"), F.col("_hits").alias("hit"))).alias("x")).select("x.of.pack", "x.of.mode", F.col("x.hit").alias("hit"))
+    return each.groupBy("pack").agg(F.when(F.max("mode") == "all", F.bool_and("hit")).otherwise(F.bool_or("hit")).alias("matched"))
 
 
 def expanded(mappings: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -136,7 +176,7 @@ def stitch(nodes: DataFrame, min_confidence: float = 0.5, suppress: list = (), b
 def stitch_with_mappings(nodes: DataFrame, mappings: DataFrame, min_confidence: float = 0.5) -> DataFrame:
     """Explicit edges, and fuzzy ones whose target isn't mapped and whose ends aren't ignored."""
     explicit = saved(explicit_edges(mappings, nodes))
-    ignored = saved(nodes.select("id").join(F.broadcast(mappings.filter("mapping_type = 'ignore'").select("source")), F.rlike("id", glob_column("source")), "left_semi"))
+    ignored = saved(nodes.select("id").join(small(mappings.filter("mapping_type = 'ignore'").select("source"), 10_000), F.rlike("id", glob_column("source")), "left_semi"))
     fuzzy = stitch(nodes, min_confidence).join(explicit.select("target_id").distinct(), "target_id", "left_anti")
     for end in ("source_id", "target_id"):
         fuzzy = fuzzy.join(ignored.withColumnRenamed("id", end), end, "left_anti")
