@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stitch as M
 from ..operators.store import Store, scan_states
+from ..shared import saved
 from ..sources import documents, files
 from ..sources.files import MAX_BYTES, skipped
 
@@ -31,13 +32,11 @@ def store_batch(store: Store) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: what the files of a batch hold replaces what the store has of them."""
 
     def batch(df: DataFrame, _: int) -> None:
-        latest = df.groupBy("path").agg(F.max_by("text", "modified").alias("text"), F.max_by("hash", "modified").alias("hash"), F.max("modified").alias("modified")).persist()
-        store.delete_files(latest.select("path"))
+        latest = saved(df.groupBy("path").agg(F.max_by("text", "modified").alias("text"), F.max_by("hash", "modified").alias("hash"), F.max("modified").alias("modified")))
         nodes, edges = documents.ingested(latest)
-        store.upsert("nodes", nodes.withColumn("created_at", F.current_timestamp()))
-        store.upsert("edges", edges.withColumn("created_at", F.current_timestamp()))
-        store.upsert("scan_metadata", latest.select(F.col("path").alias("file_path"), F.col("hash").alias("file_hash"), F.col("modified").alias("last_scanned")))
-        latest.unpersist()
+        now = F.current_timestamp()
+        scans = latest.select(F.col("path").alias("file_path"), F.col("hash").alias("file_hash"), F.col("modified").alias("last_scanned"))
+        store.replace_files(latest.select("path"), nodes.withColumn("created_at", now), edges.withColumn("created_at", now), scans)
 
     return batch
 
@@ -49,8 +48,15 @@ def start(stream: DataFrame, store: Store, checkpoint: str, every: str | None =
 
 
 def reconcile(spark: SparkSession, store: Store, root: str) -> DataFrame:
-    """Drop files that are gone; gives the (path, state) of all."""
-    states = scan_states(files.discover(spark, root).select("path", "hash"), store.read("scan_metadata"))
+    """Drop files that are gone; gives the (path, state) of all.
+
+    The listing reads no content; only files whose time isn't that of their last scan, and new ones, are read and hashed."""
+    scans = saved(store.read("scan_metadata"))
+    listing = files.listed(spark, root)
+    same = listing.join(scans.select(F.col("file_path").alias("path"), F.col("last_scanned").alias("modified"), F.col("file_hash").alias("hash")), ["path", "modified"])
+    rest = listing.join(same.select("path"), "path", "left_anti").select("path")
+    read = files.discover(spark, root, only=rest).select("path", "hash")
+    states = saved(scan_states(same.select("path", "hash").unionByName(read), scans))
     store.delete_files(states.filter("state = 'deleted'").select("path"))
     return states
 

@@ -1,6 +1,9 @@
+import hashlib
 import json
 import os
 
+import pytest
+
 from rillgraph.operators.store import Store
 from rillgraph.ship import ship
 from rillgraph.sources import column_lineage as L
@@ -25,6 +28,8 @@ def names(spark, path, text, prefix="env:"):
 def test_python_variables(spark):
     code = '''
 import os
+
+import pytest
 from os import environ
 from pydantic_settings import BaseSettings
 HOST = os.getenv("APP_HOST", "x")
@@ -60,7 +65,8 @@ def test_long_text_takes_linear_time(spark):
 
 
 def test_spark_tables(spark):
-    code = """from pyspark.sql import SparkSession
+    code = """import pytest
+from pyspark.sql import SparkSession
 from x.y import z
 df = (spark.read
       .format("delta")
@@ -78,7 +84,40 @@ df.write.insertInto("db.four")
 def test_dbt_sql(spark):
     code = "{{ config(materialized='table') }} select {{ var('days') }}, '{{ env_var(\"DBT_X\") }}' from {{ ref('orders') }} join {{ source('raw', 'users') }}"
     _, e = E.graph(spark.createDataFrame([("models/m.sql", code)], FILE))
-    assert {(x.type, x.target_id) for x in e.collect()} == {("depends_on", "data:model:orders"), ("reads", "data:source:raw.users"), ("reads", "env:DBT_X"), ("reads", "config:dbt:days")}
+    assert {(x.source_id, x.type, x.target_id) for x in e.collect()} == {
+        ("data:model:m", "depends_on", "data:model:orders"), ("data:model:m", "reads", "data:source:raw.users"), ("file://models/m.sql", "reads", "env:DBT_X"), ("file://models/m.sql", "reads", "config:dbt:days"), ("file://models/m.sql", "contains", "data:model:m"),
+    }
+    n, _ = E.graph(spark.createDataFrame([("models/m.sql", code)], FILE))
+    assert json.loads(n.filter("id = 'data:model:m'").first().metadata)["materialized"] == "table"
+
+
+def test_dbt_columns():
+    sql = "{{ config(x=1) }} with a as (select p, q from {{ ref('z') }}) select distinct a.p, q as r, count(*) total, coalesce(x, 'from, y') as s, {{ var('v') }}, *, case when 1 then 2 end from a where (select 1) -- as t"
+    assert E.selected(sql) == ["p", "r", "total", "s"]
+    assert E.selected("select a from b union select c from d") == [] and E.selected("") == [] and E.selected("delete from x") == []
+
+
+def test_minified_scripts_give_their_file_only(spark):
+    n, e = E.graph(spark.createDataFrame([("a.min.js", "var a=process.env.SECRET_MIN;" * 60), ("b.js", "process.env.PLAIN_ONE")], FILE))
+    assert {x.id for x in n.collect()} == {"file://a.min.js", "file://b.js", "env:PLAIN_ONE"} and e.count() == 1
+
+
+def test_next_routes_and_flags(spark):
+    f = spark.createDataFrame([("web/pages/api/users/[id].ts", "process.env.NEXT_PUBLIC_A"), ("web/next.config.js", "x"), ("app/api/items/route.ts", "y")], FILE)
+    n, e = E.graph(f)
+    ids = {x.id: x for x in n.collect()}
+    assert {"api:/api/users/[id]", "api:/api/items", "config:nextjs:next.config.js"} <= set(ids)
+    m = json.loads(ids["env:NEXT_PUBLIC_A"].metadata)
+    assert (m["framework"], m["public"]) == ("nextjs", True)
+    assert ("file://web/next.config.js", "config:nextjs:next.config.js", "contains") in {(x.source_id, x.target_id, x.type) for x in e.collect()}
+
+
+def test_lineage_of_long_files_and_exact_lines():
+    code = 'a = df.select("x1")\nb = df.filter("q > 1").withColumn("z", F.lit(1))\n' + "# pad\n" * 20_000 + 'c = df.withColumn("w", F.col("v"))\n'
+    got = L.references(code)
+    assert {(r[1], r[5]) for r in got if r[0] == "flow"} == {("z", "q"), ("w", "v")} and [r[4] for r in got if r[1] == "v"] == [20_003]
+    far = 't = spark.table("db.t")\nd = (t' + " " * 500 + '.select("k"))\n'
+    assert ("read", "k", "db.t", "select", 2, None) in L.references(far)
 
 
 def test_odd_files(spark):
@@ -107,7 +146,7 @@ def test_openlineage_gates(spark):
 
 def test_kubernetes_and_schema_rows():
     text = "apiVersion: v1\nkind: Service\nmetadata: {name: s}\nspec: {selector: {app: x}}\n"
-    assert ("edge", "k8s:default/service/s", "k8s:default/selector/app=x", "routes_to") in list(D.kubernetes_rows("a.yaml", text))
+    assert ("edge", "k8s:default/service/s", "k8s:default/selector/" + hashlib.md5(b'{"app": "x"}').hexdigest()[:8], "routes_to") in list(D.kubernetes_rows("a.yaml", text))
     schema = "models:\n- name: m\n  columns:\n  - name: id\n    tests: [unique, {accepted_values: {values: [1]}}]\n"
     assert {r[1] for r in D.dbt_schema_rows("a.yml", schema) if r[0] == "node"} == {"data:model:m", "column:m/id", "test:unique_m_id", "test:accepted_values_m_id"}
     job = "pipeline_a: {schedule: x, env: {A: '${B_C}'}, reads: [t.a]}\n"
@@ -158,6 +197,40 @@ def test_discovery_scan_and_stream(spark, tmp_path):
     assert "env:NEW_NAME" not in {x.id for x in store.read("nodes").collect()}
 
 
+def _events(spark, folder, name, rows):
+    spark.createDataFrame(rows, "ts string, event_type string, user_id long, value double").selectExpr("cast(ts as timestamp) ts", "event_type", "user_id", "value").coalesce(1).write.parquet(f"{folder}/{name}")
+
+
+def test_events_after_the_watermark_are_dropped(spark, tmp_path):
+    """Three batches; the last has an event later than the watermark allows and one that isn't."""
+    schema = "ts timestamp, event_type string, user_id long, value double"
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    rows: dict = {}
+
+    def batch(df, _):
+        for x in df.collect():
+            rows[x.event_type, str(x.start)] = x.n
+
+    _events(spark, f"{tmp_path}/in", "1", [("2024-01-01 00:10:00", "a", 1, 1.0), ("2024-01-01 05:00:00", "a", 1, 1.0)])
+    go = lambda: I.event_windows(stream).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    go()
+    _events(spark, f"{tmp_path}/in", "2", [("2024-01-01 00:20:00", "a", 1, 1.0), ("2024-01-01 05:30:00", "a", 1, 1.0)])
+    go()
+    assert rows["a", "2024-01-01 00:00:00"] == 1 and rows["a", "2024-01-01 05:00:00"] == 2
+
+
+def test_sessions_and_lineage_events(spark, tmp_path):
+    e = spark.createDataFrame([("2024-01-01 00:00:00", 1), ("2024-01-01 00:20:00", 1), ("2024-01-01 01:00:00", 1), ("2024-01-01 00:05:00", 2)], "ts string, user_id long")
+    assert sorted((x.user_id, x.n) for x in I.sessions(e.withColumn("event_type", e.ts)).collect()) == [(1, 1), (1, 2), (2, 1)]
+    event = {"eventType": "COMPLETE", "eventTime": "2024-01-01T00:00:00Z", "run": {"runId": "r"}, "job": {"name": "j"}}
+    os.makedirs(f"{tmp_path}/ev")
+    with open(f"{tmp_path}/ev/a.json", "w") as f:
+        f.write("\n".join(json.dumps(x) for x in (event, event, {**event, "eventType": "START"}, {"job": {}})))
+    got = []
+    I.lineage_events(spark, f"{tmp_path}/ev").writeStream.foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(x["type"] for x in got) == ["COMPLETE", "START"]
+
+
 def test_store_upserts_and_filters(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     e = lambda c: spark.createDataFrame([("a", "b", "reads", c)], "source_id string, target_id string, type string, confidence double")
@@ -167,3 +240,37 @@ def test_store_upserts_and_filters(spark, tmp_path):
     assert store.edges(0.65).count() == 0 and store.edges(0.6).count() == 1
     store.clear()
     assert store.read("edges").count() == 0
+
+
+def test_a_small_batch_rewrites_few_partitions(spark, tmp_path):
+    """Ten files of thousands; one manifest for all tables; the token index follows; old versions can be removed."""
+    store = Store(spark, f"file://{tmp_path}/s", parts=64)
+    node = "id string, name string, type string, path string, tokens array<string>"
+    rows = [(f"env:V_{i}", f"V_{i}", "env_var", f"f{i}.py", ["v", str(i)]) for i in range(3000)]
+    store.upsert("nodes", spark.createDataFrame(rows, node))
+    store.upsert("edges", spark.createDataFrame([(f"file://f{i}.py", f"env:V_{i}", "reads") for i in range(3000)], "source_id string, target_id string, type string"))
+    number, before = store.manifest()
+    assert number == 2 and len(before["nodes"]) == 64
+    store.replace_files(spark.createDataFrame([(f"f{i}.py",) for i in range(10)], "path string"), spark.createDataFrame([(f"env:N_{i}", f"N_{i}", "env_var", f"f{i}.py", ["n"]) for i in range(10)], node),
+        spark.createDataFrame([(f"file://f{i}.py", f"env:N_{i}", "reads") for i in range(10)], "source_id string, target_id string, type string"), spark.createDataFrame([(f"f{i}.py", "h") for i in range(10)], "file_path string, file_hash string"))
+    number, after = store.manifest()
+    assert number == 3
+    for t in ("nodes", "edges", "token_index"):
+        changed = [k for k in after[t] if after[t][k] != before[t].get(k)]
+        assert 0 < len(changed) <= 20, (t, len(changed))
+    assert store.read("nodes").count() == 3000 and store.read("edges").count() == 3000 and store.read("scan_metadata").count() == 10
+    assert {x.node_id for x in store.read("token_index").filter("token = 'n'").collect()} == {f"env:N_{i}" for i in range(10)}
+    assert store.read("token_index").filter("token = '3'").count() == 0
+    store.delete_edges(spark.createDataFrame([("file://f20.py",)], "id string"))
+    store.clean()
+    assert store.read("edges").count() == 2999 and len(store._names(f"{store.folder}/manifests")) == 1
+
+
+def test_of_two_commits_at_once_the_second_fails(spark, tmp_path):
+    one, two = (Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    rows = spark.createDataFrame([("a", "b", "reads")], "source_id string, target_id string, type string")
+    seen = two.manifest
+    two.manifest = lambda found=seen(): found
+    one.upsert("edges", rows)
+    with pytest.raises(Exception, match="exist"):
+        two.upsert("edges", rows)
