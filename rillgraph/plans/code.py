@@ -68,12 +68,60 @@ def extract_terraform_references(spark, d):
     return E.terraform_references(_files(_parts(spark, d), "t{k}.tf", text))
 
 
-@query(f"""SELECT 'jobs/j' || k || '.py' AS path, t AS source_id, y AS target_id, e AS type FROM {_PART}, LATERAL (VALUES ('file://jobs/j' || k || '.py', 'data:raw.in_' || k, 'reads'), ('file://jobs/j' || k || '.py', 'data:s3://lake/p' || k, 'reads'),
-  ('file://jobs/j' || k || '.py', 'data:dim.users_' || k, 'reads'), ('file://jobs/j' || k || '.py', 'data:out.t_' || k, 'writes'), ('file://jobs/j' || k || '.py', 'data:out.merged_' || k, 'writes')) v(t, y, e)""")
+@query(f"""SELECT 'jobs/j' || k || '.py' AS path, 'file://jobs/j' || k || '.py' AS source_id, replace(t, '$k', k::VARCHAR) AS target_id, e AS type FROM {_PART}, (VALUES ('data:raw.in_$k', 'reads'), ('data:s3://lake/p$k', 'reads'), ('data:dim.users_$k', 'reads'), ('data:pub.users', 'reads'),
+  ('data:delta:/lake/d$k', 'reads'), ('config:spark:spark.sql.shuffle.partitions', 'reads'), ('data:out.t_$k', 'writes'), ('data:out.merged_$k', 'writes'), ('data:pub.out_$k', 'writes'), ('py:pyspark.sql', 'imports')) v(t, e)""")
 def extract_spark_tables(spark, d):
-    text = 'from pyspark.sql import SparkSession\na = spark.table("raw.in_{k}")\nb = spark.read.option("x", "y").parquet("s3://lake/p{k}")\nspark.sql("""INSERT INTO out.merged_{k} SELECT * FROM a JOIN dim.users_{k} u""")\na.write.mode("append").saveAsTable("out.t_{k}")\n'
+    """Tables by call, path, JDBC and SQL; plain lower-case words (a view, a common table expression, a variable) are no tables."""
+    text = 'from pyspark.sql import SparkSession\nspark.conf.set("spark.sql.shuffle.partitions", 8)\na = spark.table("raw.in_{k}")\nu = spark.table("users")\nb = spark.read.option("x", "y").parquet("s3://lake/p{k}")\nj = spark.read.jdbc(url, "pub.users")\nd = DeltaTable.forPath(spark, "/lake/d{k}")\nspark.sql("""WITH recent AS (SELECT 1) INSERT INTO out.merged_{k} SELECT * FROM recent JOIN dim.users_{k} u""")\na.write.mode("append").saveAsTable("out.t_{k}")\na.write.mode("append").jdbc(url=u, table="pub.out_{k}")\n'
     _, edges = E.graph(_files(_parts(spark, d), "jobs/j{k}.py", text))
-    return edges.filter("type in ('reads', 'writes') and target_id <> 'data:a'").select(F.replace("source_id", F.lit("file://"), F.lit("")).alias("path"), "source_id", "target_id", "type")
+    return edges.select(F.replace("source_id", F.lit("file://"), F.lit("")).alias("path"), "source_id", "target_id", "type")
+
+
+@query(f"""SELECT 'a/s' || k || '.py' AS path, replace(v.n, '$k', k::VARCHAR) AS name, r AS source, c AS confidence, l AS line FROM {_PART}, (VALUES ('APP_HOST', 'py_settings', 1.0::DOUBLE, NULL), ('APP_SIZE_$k', 'py_settings', 1.0, NULL), ('F_$k', 'py_field', 1.0, 7), ('KEY_$k', 'py_dotenv', 1.0, NULL),
+  ('DEBUG_$k', 'py_env_object', 1.0, 10), ('path_$k', 'py_variable', 1.0, 11), ('API_URL', 'py_heuristic', 0.7, 12), ('IN_$k', 'py_in_environ', 1.0, 13)) v(n, r, c, l)""")
+def extract_settings(spark, d):
+    """Settings classes, fields, dotenv files, environment objects, schedulers' variables and likely names."""
+    text = 'from pydantic_settings import BaseSettings\nclass S(BaseSettings):\n    host: str = "x"\n    size_{k}: int = 1\n    class Config:\n        env_prefix = "APP_"\nf = Field(1, env="F_{k}")\nc = dotenv_values(".env")\nc["KEY_{k}"]\nenv.bool("DEBUG_{k}")\nVariable.get("path_{k}")\nAPI_URL = settings.url\n"IN_{k}" in os.environ\n'
+    nodes, edges = E.graph(_files(_parts(spark, d), "a/s{k}.py", text))
+    meta = lambda k: F.get_json_object("metadata", f"$.{k}")
+    own = nodes.filter("type = 'env_var'").select("path", "id", "name", meta("source").alias("source"), meta("line").cast("int").alias("line"))
+    return own.join(edges.select(F.col("target_id").alias("id"), F.substring("source_id", 8, 1 << 20).alias("path"), "confidence"), ["id", "path"]).select("path", "name", "source", "confidence", "line")
+
+
+@query(f"""SELECT replace(s, '$k', k::VARCHAR) AS source_id, replace(t, '$k', k::VARCHAR) AS target_id, y AS type FROM {_PART}, (VALUES ('file://models/m$k.sql', 'data:model:m$k', 'contains'), ('data:model:m$k', 'data:model:base_$k', 'depends_on'), ('data:model:m$k', 'data:source:raw.users', 'reads'),
+  ('file://models/m$k.sql', 'env:DBT_$k', 'reads'), ('file://models/m$k.sql', 'config:dbt:days', 'reads'), ('data:model:m$k', 'column:m$k/id', 'contains'), ('data:model:m$k', 'column:m$k/total', 'contains'), ('data:model:s$k', 'column:s$k/id', 'contains'), ('test:unique_s$k_id', 'data:model:s$k', 'depends_on')) v(s, t, y)""")
+def extract_dbt_sql(spark, d):
+    """Models with what they refer to and their columns, and a schema file's."""
+    sql = "‹‹ config(materialized='table') ››\nselect id, sum(x) as total from ‹‹ ref('base_{k}') ›› join ‹‹ source('raw', 'users') ›› where d > ‹‹ var('days') ›› and '‹‹ env_var(\"DBT_{k}\") ››' <> ''\n"
+    yml = "models:\n- name: s{k}\n  columns:\n  - name: id\n    tests: [unique]\n"
+    p = _parts(spark, d)
+    _, edges = D.ingested(_files(p, "models/m{k}.sql", sql).unionByName(_files(p, "models/s{k}.yml", yml)))
+    return edges.select("source_id", "target_id", "type")
+
+
+@query(f"""SELECT replace(s, '$k', k::VARCHAR) AS source_id, CASE WHEN t = '$h' THEN 'k8s:shop/selector/' || substr(md5('{{"app": "a' || k || '", "tier": "web"}}'), 1, 8) ELSE replace(t, '$k', k::VARCHAR) END AS target_id, y AS type FROM {_PART}, (VALUES ('file://s$k.yaml', 'k8s:shop/service/s$k', 'provisions'), ('k8s:shop/service/s$k', '$h', 'routes_to'),
+  ('file://s$k.yaml', 'k8s:shop/ingress/i$k', 'provisions'), ('k8s:shop/ingress/i$k', 'k8s:shop/service/s$k', 'routes_to'), ('k8s:shop/ingress/i$k', 'k8s:shop/service/old$k', 'routes_to')) v(s, t, y)""")
+def extract_services(spark, d):
+    """Services with their selector's hash, ingress routes of both forms."""
+    text = "apiVersion: v1\nkind: Service\nmetadata: ‹name: s{k}, namespace: shop›\nspec: ‹selector: ‹tier: web, app: a{k}››\n---\napiVersion: networking.k8s.io/v1\nkind: Ingress\nmetadata: ‹name: i{k}, namespace: shop›\nspec: ‹rules: [‹http: ‹paths: [‹backend: ‹service: ‹name: s{k}›››, ‹backend: ‹serviceName: old{k}››]››]›\n"
+    return D.graph(D.yaml_documents(_files(_parts(spark, d), "s{k}.yaml", text)))[1].select("source_id", "target_id", "type")
+
+
+@query(f"""SELECT replace(p, '$k', k::VARCHAR) AS path, replace(i, '$k', k::VARCHAR) AS id, t AS type, f AS framework, b AS public FROM {_PART}, (VALUES ('web/pages/api/u/$k.ts', 'file://web/pages/api/u/$k.ts', 'code_file', NULL, NULL), ('web/pages/api/u/$k.ts', 'api:/api/u/$k', 'code_entity', NULL, NULL), ('web/pages/api/u/$k.ts', 'env:NEXT_PUBLIC_$k', 'env_var', 'nextjs', 'true'),
+  ('web/pages/api/u/$k.ts', 'env:PLAIN_$k', 'env_var', NULL, 'false'), ('web/$k/next.config.js', 'file://web/$k/next.config.js', 'code_file', NULL, NULL), ('web/$k/next.config.js', 'config:nextjs:next.config.js', 'config_key', NULL, NULL), ('web/$k.min.js', 'file://web/$k.min.js', 'code_file', NULL, NULL)) v(p, i, t, f, b)""")
+def extract_scripts(spark, d):
+    """Routes and configuration by path, the frameworks of variables, and of minified scripts only the file."""
+    p = _parts(spark, d)
+    code = _files(p, "web/pages/api/u/{k}.ts", "const a = process.env.NEXT_PUBLIC_{k};\nconst b = process.env.PLAIN_{k};\n").unionByName(_files(p, "web/{k}/next.config.js", "module.x = 1\n")).unionByName(_files(p, "web/{k}.min.js", "var a=process.env.HIDDEN_ONE;" * 50))
+    nodes, _ = E.graph(code)
+    meta = lambda k: F.get_json_object("metadata", f"$.{k}")
+    return nodes.select("path", "id", "type", meta("framework").alias("framework"), meta("public").alias("public"))
+
+
+@query(f"""SELECT 'm/d' || k || '.py' AS path, c AS "column", x AS context, s AS sources, f AS confidence FROM {_PART}, (VALUES ('a', 'withColumn', 'x', 'high'), ('b', 'withColumn', 'x,y', 'medium'), ('c', 'withColumn', '', 'low'), ('n', 'withColumnRenamed', 'o', 'high')) v(c, x, s, f)""")
+def column_confidence(spark, d):
+    text = 'd = d.withColumn("a", F.col("x"))\n\n\nd = d.withColumn("b", F.col("x") + F.col("y"))\n\n\nd = d.withColumn("c", F.lit({k}))\n\n\nd = d.withColumnRenamed("o", "n")\n'
+    return L.confidence(L.column_lineage(_files(_parts(spark, d), "m/d{k}.py", text))).select("path", "column", "context", F.array_join(F.coalesce("sources", F.array().cast("array<string>")), ",").alias("sources"), "confidence")
 
 
 @query(f"""SELECT 'm/c' || k || '.py' AS path, kind, replace(c, '$k', k::VARCHAR) AS "column", l AS line, source FROM {_PART}, (VALUES ('read', 'amount', 2, NULL), ('read', 'rate', 2, NULL), ('write', 'net_$k', 2, NULL), ('flow', 'net_$k', 2, 'amount'), ('flow', 'net_$k', 2, 'rate'),
@@ -125,13 +173,35 @@ def streamed_windows(spark, d):
     """The events table as a stream into hourly windows; each batch's whole result replaces the last."""
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return _streamed(spark, I.event_windows(stream), "complete").select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+def _streamed(spark, rows, mode: str):
+    """All that a stream gives when what is there now has been read: the last batch in complete mode, else all batches."""
     folder = fresh_folder(spark, "windows")
 
     def batch(df, n):
-        df.write.parquet(f"{folder}/{n:09d}", mode="overwrite")
+        df.write.parquet(f"{folder}/batch={n}", mode="overwrite")
 
-    w = I.event_windows(stream).writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
+    w = rows.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
     w.awaitTermination()
     removed(spark, f"{folder}-state")
-    last = int(w.lastProgress["batchId"]) if w.lastProgress else 0
-    return spark.read.parquet(f"{folder}/{last:09d}").select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+    got = spark.read.schema(rows.schema.add("batch", "long")).parquet(folder)
+    return (got.filter(F.col("batch") == int(w.lastProgress["batchId"])) if mode == "complete" and w.lastProgress else got).drop("batch")
+
+
+def _stream(spark, d):
+    return spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@query("SELECT event_type, s AS start, s + INTERVAL '1 hour' AS \"end\", count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes']) AS s FROM events) GROUP BY ALL")
+def streamed_sliding_windows(spark, d):
+    """Windows of an hour that begin every half hour."""
+    return _streamed(spark, I.event_windows(_stream(spark, d), slide="30 minutes"), "complete").select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nr FROM o)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS "end", count(*) AS n FROM s GROUP BY user_id, nr""")
+def streamed_sessions(spark, d):
+    """Events of a user in sessions that half an hour without an event ends."""
+    return _streamed(spark, I.sessions(_stream(spark, d)), "complete").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")

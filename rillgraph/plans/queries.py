@@ -80,12 +80,11 @@ def ancestors_of_regions(spark, d):
 @query(
     CORE
     + """r(seed, node) AS (SELECT u, v FROM pairs WHERE starts_with(u, 'nation:') UNION SELECT seed, v FROM r JOIN pairs ON u = node)
-SELECT n.id AS seed, count(r.node) AS impacted, md5(coalesce(string_agg(r.node, ',' ORDER BY r.node), '')) AS digest
+SELECT n.id AS seed, count(r.node) AS impacted
 FROM (SELECT 'nation:' || n_nationkey AS id FROM nation) n LEFT JOIN r ON r.seed = n.id GROUP BY n.id"""
 )
 def blast_radius_of_nations(spark, d):
-    got = G.blast_radius(V.g_edges(spark, d), _seeds(spark, d, "nation"))
-    return got.select("seed", "impacted", F.md5(F.array_join("artifacts", ",")).alias("digest"))
+    return G.blast_radius(V.g_edges(spark, d), _seeds(spark, d, "nation"))
 
 
 @query(CORE + """up AS (SELECT v AS seed, u AS node FROM pairs WHERE starts_with(v, 'nation:') UNION SELECT seed, u FROM up JOIN pairs ON v = node),
@@ -98,10 +97,10 @@ def impact_summary(spark, d):
 
 
 @query(f"""WITH RECURSIVE {V.EDGES_SQL}, r(node) AS (SELECT target_id FROM g_edges WHERE starts_with(source_id, 'supplier:') UNION SELECT target_id FROM r JOIN g_edges ON source_id = node)
-SELECT 'unknown' AS bucket, count(*) AS count, md5(string_agg(node, ',' ORDER BY node)) AS digest FROM r""")
-def blast_breakdown(spark, d):
-    got = G.blast_breakdown(V.g_edges(spark, d), _seeds(spark, d, "supplier"))
-    return got.select("bucket", "count", F.md5(F.array_join("artifacts", ",")).alias("digest"))
+SELECT 'unknown' AS bucket, node FROM r""")
+def blast_artifacts(spark, d):
+    """All that suppliers reach; blast_breakdown_of_kinds has every bucket."""
+    return G.blast_artifacts(V.g_edges(spark, d), _seeds(spark, d, "supplier"))
 
 
 # --- paths and cycles
@@ -329,15 +328,6 @@ def pack_boost(spark, d):
     return e.select("source_id", "target_id", "confidence")
 
 
-@query(f"""WITH {V.NAMED_SQL} SELECT a.id AS source_id, b.id AS target_id FROM named a JOIN named b ON b.id = 'env:' || upper(replace(substr(a.id, 7), '-', '_')) WHERE a.id LIKE 'infra:%-%'""")
-def explicit_mappings(spark, d):
-    """Wildcard mappings: each dashed infrastructure name to the variable of the same name in capitals."""
-    n = V.named_nodes(spark, d)
-    m = n.filter(F.col("id").rlike("^infra:.*-")).select(F.col("id").alias("source"), F.concat(F.lit("env:"), F.upper(F.replace("name", F.lit("-"), F.lit("_")))).alias("target"), F.lit("provides").alias("mapping_type"), F.lit("").alias("reason"))
-    hit = m.join(n.select(F.col("id").alias("target")), "target", "left_semi")
-    return hit.select(F.col("source").alias("source_id"), F.col("target").alias("target_id"))
-
-
 @query("SELECT p_brand AS source, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS targets FROM part GROUP BY p_brand HAVING count(DISTINCT p_type) > 1")
 def mapping_conflicts(spark, d):
     m = V.table(spark, d, "part").select(F.col("p_brand").alias("source"), F.col("p_type").alias("target"), F.lit("provides").alias("mapping_type"))
@@ -400,9 +390,9 @@ def top_findings(spark, d):
 
 @query(f"WITH {V.NAMED_SQL}, pr AS (SELECT a.id AS left_id, b.id AS right_id, a.name AS s, b.name AS t, 0 AS alt FROM named a JOIN named b ON a.type = 'infra_resource' AND b.type = 'env_var'), {score_sql('pr')} SELECT left_id AS source_id, right_id AS target_id, score, CASE WHEN score >= 0.8 THEN 'HIGH' WHEN score >= 0.6 THEN 'MEDIUM' WHEN score >= 0.4 THEN 'LOW' ELSE 'VERY LOW' END AS level FROM scored WHERE score > 0")
 def explain(spark, d):
-    """Every infrastructure name against every variable, by names only."""
+    """Every infrastructure name with every variable that it can score against, by names only."""
     n = V.named_nodes(spark, d)
-    pairs = n.filter("type = 'infra_resource'").select(F.col("id").alias("source_id")).crossJoin(n.filter("type = 'env_var'").select(F.col("id").alias("target_id")))
+    pairs = M.comparable(n.filter("type = 'infra_resource'"), n.filter("type = 'env_var'")).toDF("source_id", "target_id")
     return A.explain(pairs).filter("score > 0").select("source_id", "target_id", "score", "level")
 
 
