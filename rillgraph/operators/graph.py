@@ -51,9 +51,20 @@ def impact_edges(edges: DataFrame, policy: str = "core", upstream: bool = False,
 
 
 def kept(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs(u, v), hashed by u in one shuffle and cached that way; a lost part is computed again. Unpersist when done."""
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.select("u", "v").repartition(parts, "u").distinct().persist()
+    """Distinct pairs(u, v), hashed by u in one shuffle and cached that way; a lost part is computed again. Unpersist when done.
+
+    An adaptive plan wouldn't say how the cached rows are partitioned, so this one is made without."""
+    conf = pairs.sparkSession.conf
+    parts, key = int(conf.get("spark.sql.shuffle.partitions")), "spark.sql.adaptive.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "false")
+    try:
+        return pairs.select("u", "v").repartition(parts, "u").distinct().persist()
+    finally:
+        if before is None:
+            conf.unset(key)
+        else:
+            conf.set(key, before)
 
 
 def next_level(frontier: DataFrame, pairs: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
