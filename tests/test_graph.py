@@ -64,3 +64,47 @@ def test_nulls_and_no_rows(spark):
     assert G.impacted(e, seeds(spark, "a", None)).count() == 0
     assert {x.node for x in G.descendants(e, seeds(spark, "a", None)).collect()} == {"b"}
     assert G.descendants(edges(spark, []), seeds(spark)).count() == 0
+
+
+def test_edges_are_shuffled_once(spark):
+    """A level's plan reads the kept edges as they lie, also where the frontier is shuffled to them."""
+    pairs = G.kept(spark.range(1000).selectExpr("cast(id % 100 as string) u", "cast(id as string) v"))
+    frontier = spark.range(500).selectExpr("cast(id as string) seed", "cast(id as string) node", "0 depth")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = G.next_level(frontier, pairs, frontier, 1)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+        pairs.unpersist()
+    above = plan.split("InMemoryTableScan")[0].splitlines()
+    side = next(k for k in range(len(above) - 1, -1, -1) if "Join" in above[k])
+    assert not any("Exchange" in x for x in above[side + 1 :] if "u#" in x), plan
+    inner = plan.split("InMemoryRelation")[1]
+    assert inner.count("Exchange hashpartitioning(u") == 1 and inner.count("Exchange") == 1, plan
+
+
+def test_closure_of_a_long_chain_and_many_seeds(spark):
+    n = 30
+    e = edges(spark, [(f"n{i}", f"n{i + 1}", "provides") for i in range(n)] + [("n0", "n1", "provides"), (f"n{n}", "n5", "provides")])
+    got = {(x.seed, x.node): x.depth for x in G.descendants(e, seeds(spark, "n0", "n5", "n0")).collect()}
+    assert got == {("n0", f"n{i}"): i for i in range(1, n + 1)} | {("n5", f"n{i}"): i - 5 for i in range(6, n + 1)}
+
+
+def test_shortest_paths_end_at_the_target(spark):
+    p = spark.createDataFrame([("t", "a"), ("a", "t"), ("b", "a"), ("c", "b"), ("c", "a2"), ("a2", "t"), ("x", "y")], "u string, v string")
+    got = {x.seed: ">".join(x.path) for x in G.shortest_paths(p, seeds(spark, "t", "a", "b", "c", "x", None), "t").collect()}
+    assert got == {"t": "t", "a": "a>t", "b": "b>a>t", "c": "c>a2>t"}
+
+
+def test_saved_tables_can_be_swept(spark):
+    from rillgraph import shared
+
+    folder = shared.fresh_folder(spark, "x")
+    shared.saved(spark.range(3))
+    n = len(shared._MADE)
+    kept, shared._MADE[:] = shared._MADE[:-2], shared._MADE[-2:]
+    assert shared.sweep(spark) == 2 and n >= 2 and folder not in shared._MADE
+    shared._MADE[:] = kept

@@ -204,6 +204,7 @@ def _events(spark, folder, name, rows):
 def test_events_after_the_watermark_are_dropped(spark, tmp_path):
     """Three batches; the last has an event later than the watermark allows and one that isn't."""
     schema = "ts timestamp, event_type string, user_id long, value double"
+    os.makedirs(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
     rows: dict = {}
 
