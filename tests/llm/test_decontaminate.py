@@ -59,11 +59,26 @@ def test_align_against_cells():
     assert got.tolist() == [smith_waterman(q.tolist(), h[a:b].tolist()) for a, b, q in zip(lo, hi, items)]
 
 
-def test_parts_of_the_benchmark(docs, spark):
+def test_a_large_benchmark_is_joined_with_the_same_result(docs, spark):
+    """Beyond the bound of the broadcast: the same pairs and scores, also for edited copies, long insertions, and null ids."""
     items, texts = _cases(np.random.default_rng(9))
-    bench = spark.createDataFrame(list(enumerate(items)), BENCH)
-    whole, parts = (D.matches(docs(texts), bench, D.Settings(part_bytes=b)).collect() for b in (10**9, 500))
-    assert sorted(whole) == sorted(parts) and whole
+    r = np.random.default_rng(15)
+    w = items[0].split()
+    texts += [_edited(items[1], 6), " ".join([*w[: len(w) // 2], prose(r, len(w) // 2), *w[len(w) // 2 :]]), None, "", "two words", items[2] + " " + items[2]]
+    d = docs([*enumerate(texts), (None, items[3])])
+    bench = spark.createDataFrame([*enumerate(items), (None, items[4]), (900, "two words"), (901, None)], BENCH)
+    whole, joined = (sorted(map(tuple, D.matches(d, bench, D.Settings(part_bytes=n)).collect()), key=str) for n in (10**9, 500))
+    assert whole == joined and len(whole) > 5
+    kept = [sorted(map(str, D.decontaminated(d, bench, D.Settings(part_bytes=n)).collect())) for n in (10**9, 500)]
+    assert kept[0] == kept[1] and len(kept[0]) < d.count()
+
+
+def test_bloom_filter_misses_no_seed(spark):
+    r = np.random.default_rng(16)
+    seeds = r.integers(-(2**63), 2**63 - 1, 3000)
+    f = D.bloom(spark.createDataFrame([(int(x),) for x in seeds], "seed long"))
+    assert D.passes(f, seeds.view(np.uint64)).all()
+    assert D.passes(f, r.integers(0, 2**63 - 1, 20_000).astype(np.uint64)).mean() < 0.05
 
 
 def test_decontaminated_drops_what_matches(docs, spark):
