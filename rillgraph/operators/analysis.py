@@ -1,4 +1,8 @@
-"""Findings, explanations, the check gate, reviews, reviewers and diagnostics."""
+"""Findings, explanations, the check gate, reviews, reviewers and diagnostics.
+
+Defined results: a missing or zero confidence counts as one half; null ids, names and paths find nothing and are found by nothing;
+equal edges are a finding each; ties go to the smaller id or name; tables may be empty.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,8 @@ from pyspark.sql.window import Window
 
 from ..functions.score import explanation, score
 from ..functions.text import checked_env_name, confidence, confidence_level, ignored_path, name_of, normal_path, tokenize
+from ..schema import EDGES, NODES
+from ..shared import known
 from .graph import closure, impact_edges
 from .stitch import unsuppressed
 
@@ -70,7 +76,7 @@ def finding_counts(edges: DataFrame) -> DataFrame:
 def explain(pairs: DataFrame) -> DataFrame:
     """pairs(source_id, target_id) with score, level, matched tokens and explanation, by names only."""
     r = score(name_of("source_id"), name_of("target_id"))
-    out = pairs.withColumn("_r", r)
+    out = pairs.select("source_id", "target_id", r.alias("_r"))
     return out.select("source_id", "target_id", F.col("_r.score").alias("score"), confidence_level("_r.score").alias("level"), F.col("_r.matched").alias("matched_tokens"), explanation(F.col("_r")).alias("explanation"))
 
 
@@ -90,6 +96,7 @@ def why_not(source_id: str, target_id: str, spark, threshold: float = 0.5) -> Da
 def check(nodes: DataFrame, edges: DataFrame, files: DataFrame, top: int = 5) -> DataFrame:
     """(severity, rule, subject) for changed files(path): variables read there without provider, the infrastructure most
     impacted by the files' nodes (top each), and changed infrastructure and schema files."""
+    nodes, edges = known(nodes, NODES), known(edges, EDGES)
     changed = files.filter(~ignored_path("path")).select(normal_path("path").alias("_p")).distinct()
     touched = nodes.withColumn("_p", normal_path("path")).join(changed, "_p", "left_semi")
     lone = missing_providers(nodes, edges).filter(checked_env_name("name")).select("id")
@@ -151,12 +158,14 @@ def source_file(nodes: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFra
 
 def hover(nodes: DataFrame, edges: DataFrame, path: str, line: int) -> DataFrame:
     """The node at a line of a file with its provider, if any."""
+    nodes, edges = known(nodes, NODES), known(edges, EDGES)
     at = nodes.filter((F.col("path") == path) & (F.get_json_object("metadata", "$.line").cast("int") == line)).select("id", "name", "type")
     p = edges.filter("type = 'provides'").select(F.col("target_id").alias("id"), "source_id", "confidence")
     return at.join(p, "id", "left").join(nodes.select(F.col("id").alias("source_id"), F.col("name").alias("provider"), F.col("path").alias("provider_path")), "source_id", "left").orderBy("id", F.desc_nulls_last("confidence"), "source_id").limit(1)
 
 
 def providers_for_file(nodes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
+    nodes, edges = known(nodes, NODES), known(edges, EDGES)
     own = nodes.filter(F.col("path") == path).select(F.col("id").alias("target_id"), "name")
     return own.join(edges.filter("type = 'provides'"), "target_id").join(nodes.select(F.col("id").alias("source_id"), F.col("name").alias("provider"), F.col("path").alias("provider_path")), "source_id").select("target_id", "name", "source_id", "provider", "provider_path", "confidence")
 

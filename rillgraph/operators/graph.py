@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import blast_bucket, lineage_bucket
-from ..schema import EDGE_KEY, POLICIES
-from ..shared import saved
+from ..schema import EDGE_KEY, EDGES, NODES, POLICIES
+from ..shared import fresh, known, saved
 
 
 SMALL = 100_000
@@ -222,13 +222,15 @@ def hydrate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
     order = [F.col(c).asc_nulls_last() for c in ("created_at",) if c in edges.columns] + [F.col("confidence").desc_nulls_last()] * ("confidence" in edges.columns)
     w = Window.partitionBy(*EDGE_KEY).orderBy(*(order or [F.lit(1)]))
-    return both.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*edges.columns)
+    nr = fresh(edges)
+    return both.withColumn(nr, F.row_number().over(w)).filter(F.col(nr) == 1).select(*edges.columns)
 
 
 def latest_type(edges: DataFrame) -> DataFrame:
     """One edge of each (source, target), the last written: the light graph of the lineage queries."""
     w = Window.partitionBy("source_id", "target_id").orderBy(F.col("created_at").desc_nulls_last(), F.col("type").desc())
-    return edges.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    nr = fresh(edges)
+    return edges.withColumn(nr, F.row_number().over(w)).filter(F.col(nr) == 1).drop(nr)
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
@@ -296,6 +298,7 @@ def stats_cube(nodes: DataFrame) -> DataFrame:
 
 def file_dependencies(nodes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
     """(bucket, ids) of what the file's nodes depend on: consumes, provides or internal."""
+    nodes, edges = known(nodes, NODES), known(edges, EDGES)
     own = nodes.filter((F.col("path") == path) | F.col("path").endswith("/" + path)).select(F.col("id").alias("source_id"))
     out = edges.join(own, "source_id").join(nodes.select(F.col("id").alias("target_id"), F.col("type").alias("kind")), "target_id")
     bucket = F.when(F.col("type").isin("provides", "provisions", "writes"), "provides").when(F.col("kind").isin("config_key", "data_asset", "env_var", "infra_resource", "secret"), "consumes").otherwise("internal")

@@ -1,4 +1,8 @@
-"""Linking nodes across domains: token-index candidate join, scoring, best match; mappings, packs and suppressions."""
+"""Linking nodes across domains: token-index candidate join, scoring, best match; mappings, packs and suppressions.
+
+Defined results: nodes without id or name match nothing; equal nodes count once as candidates; rules and mappings with a null
+pattern apply to nothing; ties have an order that each function states; tables may be empty.
+"""
 
 from __future__ import annotations
 

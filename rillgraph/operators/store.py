@@ -11,14 +11,15 @@ from pyspark.sql.window import Window
 
 from ..functions.text import normal_path
 from ..schema import EDGE_KEY, EDGES, NODES, SCANS, columns
-from ..shared import removed, saved
+from ..shared import fresh, removed, saved
 
 
 def last_wins(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row of each key: the latest by created_at (nulls first), then the greatest by all columns as text."""
     rest = F.struct(*(F.col(c).cast("string") for c in rows.columns if c not in keys and c != "created_at"))
     w = Window.partitionBy(*keys).orderBy(F.col("created_at").desc_nulls_last(), rest.desc())
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    nr = fresh(rows)
+    return rows.withColumn(nr, F.row_number().over(w)).filter(F.col(nr) == 1).drop(nr)
 
 
 def upserted(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -63,3 +63,14 @@ def _at_exit() -> None:
             sweep(spark)
         except Exception:  # noqa: BLE001  the session may be gone already
             _MADE.clear()
+
+
+def fresh(df: DataFrame) -> str:
+    """A column name that df doesn't have."""
+    return "_" * (1 + max((len(c) for c in df.columns), default=0))
+
+
+def known(df: DataFrame, schema: str) -> DataFrame:
+    """Only those columns of df that a schema names."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    return df.select(*(c for c in names if c in df.columns))
