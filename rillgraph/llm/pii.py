@@ -41,6 +41,17 @@ _CJK = "\u1100-\u11ff\u2e80-\u303f\u3041-\u30ff\u3131-\u318e\u31f0-\u9fff\uac00-
 _GLUED = re.compile(f"{_EMAIL}|[{_CJK}]+|(?:(?!{_EMAIL})[^{_CJK}])+")
 
 
+_ASIAN = re.compile(f"[{_CJK}]")
+
+
+def tokens_of(text: str) -> list[str]:
+    """The tokens of a text, as spans has them."""
+    out = text.split()
+    if "@" in text or (not text.isascii() and _ASIAN.search(text)):
+        return [x for t in out for x in (_GLUED.findall(t) if "@" in t or not t.isascii() else (t,))]
+    return out
+
+
 def spans(text: str) -> list[tuple[int, int]]:
     """Where the tokens of a text are."""
     out = []
@@ -75,9 +86,25 @@ def bare(token: str) -> tuple[int, int]:
     return start, end
 
 
-def announced(tokens: list[str]) -> set[int]:
-    """Tokens after 'password:', 'password =' and the like."""
-    return {i for i in range(1, len(tokens)) if tokens[i - 1][-1] in ":=" and (_ANNOUNCES.match(tokens[i - 1]) or (i > 1 and len(tokens[i - 1]) == 1 and _NAMES_SECRET.match(tokens[i - 2]))) and tokens[i] not in ("=", ":")}
+class Looks(dict):
+    """What a token may be at first sight, by token: 1 no plain word, 2 a cue word, 4 it ends with ':' or '=', 8 it may begin an
+    account number. Texts repeat their words, so few are looked at; the table is emptied when it grows too large."""
+
+    def __missing__(self, t: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        head = len(t) < 9 and "0" <= t[-1] <= "9" and re.fullmatch(r"[A-Z]{2}\d{2}", t[slice(*bare(t))]) is not None
+        got = self[t] = (1 if _CANDIDATE.search(t) else 0) | (2 if _CUE.match(t) else 0) | (4 if t[-1] in ":=" else 0) | (8 if head else 0)
+        return got
+
+
+_LOOKS = Looks()
+
+
+def announced(tokens: list[str], after: list[int] | None = None) -> set[int]:
+    """Tokens after 'password:', 'password =' and the like; after: those that end with ':' or '=', where it is known."""
+    at = range(1, len(tokens)) if after is None else [i + 1 for i in after if i + 1 < len(tokens)]
+    return {i for i in at if tokens[i - 1][-1] in ":=" and (_ANNOUNCES.match(tokens[i - 1]) or (i > 1 and len(tokens[i - 1]) == 1 and _NAMES_SECRET.match(tokens[i - 2]))) and tokens[i] not in ("=", ":")}
 
 
 def grouped(tokens: list[str], i: int) -> str:
@@ -98,21 +125,20 @@ def _iban(t: str) -> bool:
     return bool(re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", t)) and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
 
 
-def ibans(tokens: list[str]) -> set[int]:
-    """Tokens that are groups of an account number written in groups of four."""
+def ibans(tokens: list[str], heads: list[int]) -> set[int]:
+    """Tokens that are groups of an account number written in groups of four, of which heads may be the first."""
     out: set[int] = set()
-    for i, t in enumerate(tokens):
-        if len(t) < 9 and "0" <= t[-1] <= "9" and re.fullmatch(r"[A-Z]{2}\d{2}", t[slice(*bare(t))]):
-            whole = t[slice(*bare(t))]
-            for j in range(i + 1, min(len(tokens), i + 9)):
-                group = tokens[j][slice(*bare(tokens[j]))]
-                if not re.fullmatch("[A-Z0-9]{1,4}", group):
-                    break
-                whole += group
-                if _iban(whole):
-                    out |= set(range(i, j + 1))
-                if len(group) < 4 or len(tokens[j]) > len(group):
-                    break
+    for i in heads:
+        whole = tokens[i][slice(*bare(tokens[i]))]
+        for j in range(i + 1, min(len(tokens), i + 9)):
+            group = tokens[j][slice(*bare(tokens[j]))]
+            if not re.fullmatch("[A-Z0-9]{1,4}", group):
+                break
+            whole += group
+            if _iban(whole):
+                out |= set(range(i, j + 1))
+            if len(group) < 4 or len(tokens[j]) > len(group):
+                break
     return out
 
 
@@ -206,18 +232,20 @@ class Graph:
         chain, same, alike, label, runs = [], [], [], [], []
         for d, tokens in enumerate(docs):
             last, seen_token, seen_shape = -1, {}, {}
-            told = announced(tokens)
-            account = ibans(tokens)
+            looks = list(map(_LOOKS.__getitem__, tokens))
+            notable = [i for i, x in enumerate(looks) if x]
+            told = announced(tokens, [i for i in notable if looks[i] & 4])
+            account = ibans(tokens, [i for i in notable if looks[i] & 8])
             values = {tokens[i][slice(*bare(tokens[i]))].lower() for i in told} - {""}
-            for i, t in enumerate(tokens):
-                plain = not _CANDIDATE.search(t)
-                value = i in told or (bool(values) and t[slice(*bare(t))].lower() in values)
-                if plain and not every and not value and i not in account and not _CUE.match(t):
-                    continue
+            repeats = {i for i, t in enumerate(tokens) if t[slice(*bare(t))].lower() in values} if values else set()
+            nodes = range(len(tokens)) if every else sorted({*(i for i in notable if looks[i] & 3), *told, *account, *repeats})
+            for i in nodes:
+                t = tokens[i]
+                plain, value, cue = not looks[i] & 1, i in told or i in repeats, looks[i] & 2
                 node = len(self.at)
                 self.at.append((d, i))
                 own = PLAIN
-                if not plain or i in told or i in account or _CUE.match(t):
+                if not plain or i in told or i in account or cue:
                     own = list(_own(t))
                     for off, step in ((-1, 1), (1, 2), (-2, 3)):
                         if 0 <= i + off < len(tokens):
@@ -355,13 +383,15 @@ def found(texts: list[str], model: Model, powers: np.ndarray, s: Settings = Sett
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     for lo in range(0, len(texts), 200):
         own = range(lo, min(len(texts), lo + 200))
-        at = [spans(texts[k]) for k in own]
-        g = Graph([[texts[k][a:b] for a, b in sp] for k, sp in zip(own, at)])
+        g = Graph([tokens_of(texts[k]) for k in own])
         if not g.at:
             continue
         best = marginals(g, model, powers, s).argmax(axis=1).tolist()
+        at: dict[int, list[tuple[int, int]]] = {}
         for (d, i), y in zip(g.at, best):
             if y:
+                if d not in at:  # places only where something was found
+                    at[d] = spans(texts[own[d]])
                 a, b = at[d][i]
                 t = texts[own[d]][a:b]
                 left, right = bare(t)

@@ -57,6 +57,11 @@ def test_documents_written_by_hand():
     assert right >= 0.9 * sum(map(len, want)) and sum(len(s - w) for s, w in zip(said, want)) <= 1, [(s, w) for s, w in zip(said, want) if s != w]
 
 
+def test_tokens_and_their_places_agree():
+    for t in [t for t, _ in WRITTEN] + ["", " \t", "é中文a@b.org,中 x\xa0y\x1cz  naïve", "a@b.c@d.e ü@x.org", "😀ab 中"]:
+        assert [t[a:b] for a, b in Q.spans(t)] == Q.tokens_of(t)
+
+
 def test_plain_tokens_are_o_whatever_is_beside_them():
     m = Q.fitted()
     for a, b in itertools.product(range(Q.K), repeat=2):
