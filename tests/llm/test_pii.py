@@ -48,7 +48,7 @@ WRITTEN = [
 
 
 def test_documents_written_by_hand():
-    """Held out in kind too: no sentence, value or format list of the generator is used here."""
+    """Sentences and values that the generator doesn't make, though of the kinds it covers; written together with it, so a kind test."""
     m = Q.fitted()
     got = Q.found([t for t, _ in WRITTEN], m, m.powers())
     said = [{f"{label}:{t[a:b]}" for label, a, b in e} for (t, _), e in zip(WRITTEN, got)]
