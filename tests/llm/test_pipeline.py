@@ -5,7 +5,7 @@ from helpers import prose
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
-def test_planted_cases(spark, tmp_path, odd):
+def test_planted_cases(spark, tmp_path):
     """Each stage drops what was planted for it and keeps the rest."""
     r = np.random.default_rng(16)
     clean = [prose(r, int(r.integers(30, 80))) for _ in range(80)]
@@ -49,3 +49,20 @@ def test_stages_in_order_and_their_columns(spark, tmp_path, docs):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert sorted(map(str, stage(spark, d, str(tmp_path)).collect())) == sorted(map(str, d.collect())), name
         assert stage(spark, d.filter("false"), str(tmp_path)).columns == d.columns
+
+
+def test_odd_and_empty_tables_from_end_to_end(spark, tmp_path, odd, empty):
+    """Null, empty, very long and repeated texts, null ids, columns of clashing names; then no rows at all."""
+    spark.createDataFrame([(1, "a b c d e")], "item_id long, text string").write.parquet(f"{tmp_path}/odd/benchmark.parquet")
+    spark.createDataFrame([(5, 1), (6, 0), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/odd/labels.parquet")
+    odd.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    added = ["token_ids", "n_tokens", "round_trip"]
+    assert got.columns == [c for c in odd.columns if c not in added] + added
+    rows = got.collect()
+    assert sorted(str(x.doc_id) for x in rows) == ["1", "2", "3", "4", "5", "6", "7", "8", "None"]
+    assert all((x.n_tokens is None) == (x.text is None) for x in rows) and all(x.score == "own" for x in rows)
+    empty.write.parquet(f"{tmp_path}/empty/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/empty/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/empty/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
