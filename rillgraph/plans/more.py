@@ -86,14 +86,13 @@ def _names_sql(words: list[str]) -> str:
 ENV_NAMES = "P_{k}|X{k}|{k}abc|prod|Production|a|AB|debug|database|data_base|data-base|DataBase|my name|./x|/etc|.env|a/b|http://x|redis://h|utf-8|LOCALHOST|port|user|User|USER_{k}|é|VAR|name|NAME|value|key|KEY|options|config|data|A(B)|a[b]|${A}|A$B|A\\B|abc|abc_d|PATH|HOME".split("|")
 
 
-@query(f"""SELECT k, name, length(name) >= 2 AND lower(name) NOT IN ('localhost', 'true', 'false', 'null', 'none', 'default', 'dev', 'prod', 'staging', 'test', 'development', 'production', 'info', 'warning', 'error', 'critical', 'utf-8', 'utf8', 'ascii',
-  'dev-secret', 'secret', 'yes', 'no', 'on', 'off', 'enabled', 'disabled', 'myapp', 'app', 'main', 'root', 'admin', 'user') AND NOT contains(name, ' ') AND NOT regexp_matches(name, '^[0-9]') AND NOT starts_with(name, '.') AND NOT contains(name, '/')
+@query(f"""SELECT k, name, length(name) >= 2 AND lower(name) NOT IN ('admin', 'app', 'ascii', 'critical', 'default', 'dev', 'dev-secret', 'development', 'disabled', 'enabled', 'error', 'false', 'info', 'localhost', 'main', 'myapp', 'no', 'none', 'null', 'off', 'on', 'prod', 'production', 'root', 'secret', 'staging', 'test', 'true', 'user', 'utf-8', 'utf8', 'warning', 'yes') AND NOT contains(name, ' ') AND NOT regexp_matches(name, '^[0-9]') AND NOT starts_with(name, '.') AND NOT contains(name, '/')
   AND NOT (lower(name) = name AND upper(name) <> name AND NOT contains(name, '_') AND NOT contains(name, '-') AND length(name) > 6) AS ok FROM {_names_sql(ENV_NAMES)}""")
 def valid_env_names(spark, d):
     return _names(spark, d, ENV_NAMES).select("k", "name", X.valid_env_name("name").alias("ok"))
 
 
-@query(f"""SELECT k, name, length(name) >= 3 AND NOT regexp_matches(name, '[\\\\${{}}()\\[\\]]') AND name NOT IN ('VAR', 'name', 'value', 'key', 'data', 'config', 'options') AND NOT (lower(name) = name AND upper(name) <> name AND NOT contains(name, '_')) AS ok
+@query(f"""SELECT k, name, length(name) >= 3 AND NOT regexp_matches(name, '[\\\\${{}}()\\[\\]]') AND name NOT IN ('VAR', 'config', 'data', 'key', 'name', 'options', 'value') AND NOT (lower(name) = name AND upper(name) <> name AND NOT contains(name, '_')) AS ok
 FROM {_names_sql(ENV_NAMES)}""")
 def checked_env_names(spark, d):
     return _names(spark, d, ENV_NAMES).select("k", "name", X.checked_env_name("name").alias("ok"))
@@ -102,7 +101,7 @@ def checked_env_names(spark, d):
 TABLE_NAMES = "users|Users|USERS|t{k}|T{k}|raw.t{k}|s3://b/t{k}|a/b|a_b|x|path|PATH|data|Data.x|tmp|output|Source|Ünder".split("|")
 
 
-@query(f"""SELECT k, name, length(name) >= 2 AND lower(name) NOT IN ('path', 'table', 'file', 'data', 'output', 'input', 'source', 'target', 'temp', 'tmp')
+@query(f"""SELECT k, name, length(name) >= 2 AND lower(name) NOT IN ('data', 'file', 'input', 'output', 'path', 'source', 'table', 'target', 'temp', 'tmp')
   AND (contains(name, '.') OR contains(name, '/') OR contains(name, '_') OR NOT (lower(name) = name AND upper(name) <> name)) AS ok FROM {_names_sql(TABLE_NAMES)}""")
 def valid_table_names(spark, d):
     return _names(spark, d, TABLE_NAMES).select("k", "name", X.valid_table_name("name").alias("ok"))
@@ -111,14 +110,14 @@ def valid_table_names(spark, d):
 PATHS = "src/p{k}.py|Tests/p{k}.py|a/e2e/x{k}.ts|a\\fixtures\\b|contest/{k}|node_modules/x/{k}.js|lib/latest/{k}|x/__tests__/a|corpus/{k}|.git/{k}".split("|")
 
 
-@query(f"""SELECT k, name, len(list_intersect(string_split_regex(lower(name), '[/\\\\]'), ['tests', 'test', 'fixtures', 'corpus', '__tests__', 'e2e', 'e2e_live', '.git', '.tox', '.venv', '__pycache__', 'build', 'dist', 'node_modules', 'site-packages', 'venv'])) > 0 AS ignored
+@query(f"""SELECT k, name, len(list_intersect(string_split_regex(lower(name), '[/\\\\]'), ['.git', '.tox', '.venv', '__pycache__', '__tests__', 'build', 'corpus', 'dist', 'e2e', 'e2e_live', 'fixtures', 'node_modules', 'site-packages', 'test', 'tests', 'venv'])) > 0 AS ignored
 FROM {_names_sql(PATHS)}""")
 def ignored_paths(spark, d):
     return _names(spark, d, PATHS).select("k", "name", X.ignored_path("name").alias("ignored"))
 
 
-_BLOCKED = "['id', 'db', 'host', 'url', 'key', 'name', 'type', 'data', 'info', 'temp', 'test', 'api', 'app', 'env', 'var', 'val', 'config', 'setting', 'path', 'port', 'user', 'password', 'secret', 'token', 'auth', 'log', 'file', 'dir', 'src', 'dst', 'in', 'out', 'err', 'msg', 'str', 'int', 'num', 'bool', 'list', 'dict', 'map', 'the', 'and', 'for', 'not', 'get', 'set', 'new', 'old']"
-_WEAK = "['aws', 'gcp', 'azure', 'cloud', 'main', 'default', 'primary', 'secondary', 'production', 'prod', 'staging', 'stage', 'dev', 'development', 'internal', 'external', 'public', 'private', 'local', 'remote', 'master', 'slave', 'read', 'write', 'replica', 'backup', 'cache', 'queue', 'worker', 'service', 'instance', 'cluster', 'group', 'pool', 'bucket']"
+_BLOCKED = "['and', 'api', 'app', 'auth', 'bool', 'config', 'data', 'db', 'dict', 'dir', 'dst', 'env', 'err', 'file', 'for', 'get', 'host', 'id', 'in', 'info', 'int', 'key', 'list', 'log', 'map', 'msg', 'name', 'new', 'not', 'num', 'old', 'out', 'password', 'path', 'port', 'secret', 'set', 'setting', 'src', 'str', 'temp', 'test', 'the', 'token', 'type', 'url', 'user', 'val', 'var']"
+_WEAK = "['aws', 'azure', 'backup', 'bucket', 'cache', 'cloud', 'cluster', 'default', 'dev', 'development', 'external', 'gcp', 'group', 'instance', 'internal', 'local', 'main', 'master', 'pool', 'primary', 'private', 'prod', 'production', 'public', 'queue', 'read', 'remote', 'replica', 'secondary', 'service', 'slave', 'stage', 'staging', 'worker', 'write']"
 OVERLAPS = [("payment_db_host_{k}", "PAYMENT_DATABASE_HOST"), ("main_service_queue", "service_queue_{k}"), ("id_key", "id_key"), ("p{k}", "P{k}"), ("ab_cd_payment", "cd_payment_prod"), ("db", "url"), ("order_payment_x{k}", "payment_order")]
 
 
