@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if there is None:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="rillgraph-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
