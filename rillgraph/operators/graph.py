@@ -120,9 +120,39 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, policy: str = "core", max_d
     return seeds.select("seed").distinct().join(got, "seed", "left").select("seed", F.coalesce("impacted", F.lit(0)).alias("impacted"))
 
 
+def reached(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node) of all that pairs(u, v) reach from a seed other than the node itself: the nodes of closure, without a row for each
+    seed.
+
+    A node keeps and hands on the first two seeds that get to it. That is enough: along a path from a seed other than x to x each
+    node has a seed other than x, since it was handed one or had two already. Each edge is passed at most twice, however many seeds.
+    """
+    pairs = kept(pairs)
+    numbered = saved(seeds.select("seed").filter("seed is not null").distinct())
+    frontier = saved(numbered.select(F.col("seed").alias("node"), F.monotonically_increasing_id().alias("seed")))
+    start, levels = frontier, []
+    while True:
+        seen = functools.reduce(DataFrame.unionByName, levels, start)
+        step = frontier.join(pairs, F.col("node") == F.col("u")).select(F.col("v").alias("node"), "seed")
+        none = F.lit(None).cast("long")
+        both = seen.select("node", F.col("seed").alias("had"), none.alias("got")).unionByName(step.select("node", none.alias("had"), F.col("seed").alias("got")))
+        both = both.groupBy("node").agg(F.min("had").alias("h1"), F.max("had").alias("h2"), F.min("got").alias("g1"), F.max("got").alias("g2")).filter("g1 is not null and (h1 is null or h1 = h2)")
+        new = F.when(F.col("h1").isNull(), F.array_distinct(F.array("g1", "g2"))).when(F.col("g1") != F.col("h1"), F.array("g1")).when(F.col("g2") != F.col("h1"), F.array("g2")).otherwise(F.array().cast("array<bigint>"))
+        frontier = saved(both.select("node", F.explode(new).alias("seed")))
+        if frontier.isEmpty():
+            break
+        levels.append(frontier)
+        if len(levels) > 12:
+            levels = [saved(functools.reduce(DataFrame.unionByName, levels))]
+    pairs.unpersist()
+    if not levels:
+        return frontier.select("node")
+    return functools.reduce(DataFrame.unionByName, levels).select("node").distinct()
+
+
 def blast_artifacts(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(bucket, node) of all that is reached from any seed, whatever the edges' types."""
-    return descendants(edges, seeds).select("node").distinct().select(blast_bucket("node").alias("bucket"), "node")
+    return reached(impact_edges(edges, "untyped", distinct=False), seeds).select(blast_bucket("node").alias("bucket"), "node")
 
 
 def blast_breakdown(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -108,3 +108,21 @@ def test_saved_tables_can_be_swept(spark):
     kept, shared._MADE[:] = shared._MADE[:-2], shared._MADE[-2:]
     assert shared.sweep(spark) == 2 and n >= 2 and folder not in shared._MADE
     shared._MADE[:] = kept
+
+
+def test_reach_of_many_seeds_has_no_row_for_each_seed(spark, monkeypatch):
+    """As many rows as nodes, twice at most, where 60 seeds reach 60 nodes each; seeds that only reach themselves aren't reached."""
+    rows, write = [], G.saved
+    monkeypatch.setattr(G, "saved", lambda df: (out := write(df), rows.append(out.count()))[0])
+    e = edges(spark, [(f"s{i}", "hub", "reads") for i in range(60)] + [("hub", f"n{i}", "reads") for i in range(60)] + [("n0", "s0", "reads"), ("x", "y", "reads"), ("y", "x", "reads")])
+    got = {x.node for x in G.blast_artifacts(e, seeds(spark, "x", None, *(f"s{i}" for i in range(60)))).collect()}
+    assert got == {"hub", "s0", "y", *(f"n{i}" for i in range(60))}
+    assert sum(rows) < 4 * 130
+
+
+def test_reached_is_the_closures_nodes(spark):
+    for case in (1, 2):
+        e = edges(spark, [(f"n{i * (case + 3) % 17}", f"n{(i * i + case) % 17}", "reads") for i in range(12)])
+        some = seeds(spark, *(f"n{i}" for i in range(case % 3 + 1)))
+        pairs = G.impact_edges(e, "untyped")
+        assert {x.node for x in G.reached(pairs, some).collect()} == {x.node for x in G.closure(pairs, some).collect()}
