@@ -16,7 +16,7 @@ from ..functions.score import explanation, score
 from ..functions.text import checked_env_name, confidence, confidence_level, ignored_path, name_of, normal_path, tokenize
 from ..schema import EDGES, NODES
 from ..shared import known
-from .graph import closure, impact_edges
+from .graph import impact_edges, reach, reached
 from .stitch import unsuppressed
 
 
@@ -52,7 +52,7 @@ def findings(nodes: DataFrame, edges: DataFrame, depth: int = -1, floor: float =
         F.when(F.col("kind") == "ambiguous_match", F.concat(sn, F.lit(": several matches"))).when(F.col("kind") == "high_confidence_link", F.concat(sn, F.lit(" -> "), tn))
         .when(F.col("kind") == "cross_domain_chain", F.concat(F.lit("across domains: "), sn, F.lit(" -> "), tn)).otherwise(sn)
     )
-    far = closure(impact_edges(edges, "untyped"), e.filter((F.col("interest") > floor) & known).select(F.col("target_id").alias("seed")), depth).groupBy("seed").agg(F.count("*").alias("_r"))
+    far = reach(impact_edges(edges, "untyped"), e.filter((F.col("interest") > floor) & known).select(F.col("target_id").alias("seed")), depth).withColumnRenamed("count", "_r")
     e = e.join(far, e.target_id == far.seed, "left").withColumn("blast_radius", F.when(F.col("interest") > floor, F.coalesce("_r", F.lit(0))).otherwise(0)).withColumn("title", title)
     cols = ["kind", "title", "source_id", "target_id", "confidence", "interest", "match_count", "blast_radius"]
     none = missing_infra_targets(nodes, edges).select(
@@ -102,7 +102,7 @@ def check(nodes: DataFrame, edges: DataFrame, files: DataFrame, top: int = 5) ->
     lone = missing_providers(nodes, edges).filter(checked_env_name("name")).select("id")
     reads = edges.filter("type = 'reads'").join(touched.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(F.col("target_id").alias("id"))
     missing = lone.join(reads.union(touched.select("id")).distinct(), "id", "left_semi").select(F.lit("critical").alias("severity"), F.lit("missing_provider").alias("rule"), F.col("id").alias("subject"))
-    hit = closure(impact_edges(edges, "core"), touched.select(F.col("id").alias("seed"))).select(F.col("node").alias("id")).distinct()
+    hit = reached(impact_edges(edges, "core"), touched.select(F.col("id").alias("seed"))).select(F.col("node").alias("id"))
     infra = hit.join(nodes.filter("type = 'infra_resource'").select("id"), "id").orderBy("id").limit(top).select(F.lit("high").alias("severity"), F.lit("infra_impact").alias("rule"), F.col("id").alias("subject"))
     kind = F.when(F.col("_p").rlike(r"\.tf(vars)?$"), "infra_change").when(F.col("_p").rlike(r"(?i)(schema|migration|\.sql$)"), "schema_change")
     own = changed.select(F.when(kind == "infra_change", "high").otherwise("medium").alias("severity"), kind.alias("rule"), F.col("_p").alias("subject")).filter("rule is not null")

@@ -126,3 +126,16 @@ def test_reached_is_the_closures_nodes(spark):
         some = seeds(spark, *(f"n{i}" for i in range(case % 3 + 1)))
         pairs = G.impact_edges(e, "untyped")
         assert {x.node for x in G.reached(pairs, some).collect()} == {x.node for x in G.closure(pairs, some).collect()}
+
+
+def test_levels_have_a_row_for_a_block_of_seeds(spark, monkeypatch):
+    """70 seeds that reach a hub and 40 nodes behind it: two words of bits for each node, not 70 rows."""
+    rows, write = [], G.saved
+    monkeypatch.setattr(G, "saved", lambda df: (out := write(df), rows.append(out.count()))[0])
+    e = edges(spark, [(f"s{i}", "hub", "reads") for i in range(70)] + [("hub", f"n{i}", "reads") for i in range(40)] + [("n0", "s63", "reads")])
+    every = seeds(spark, *(f"s{i}" for i in range(70)))
+    depths = {"hub": 1, "s63": 3} | {f"n{i}": 2 for i in range(40)}
+    got = {(x.seed, x.node, x.depth) for x in G.descendants(e, every).collect()}
+    assert got == {(f"s{i}", n, d) for i in range(70) for n, d in depths.items() if n != f"s{i}"}
+    assert sum(rows) < 400
+    assert {x.seed: x["count"] for x in G.reach(G.impact_edges(e, "untyped"), every).collect()} == {f"s{i}": 42 - (i == 63) for i in range(70)}
