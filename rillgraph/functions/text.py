@@ -14,6 +14,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, then) -> Column:
+    """then(value), where value is evaluated once, however often then names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def normalize(c: str | Column, spaces: bool = False) -> Column:
     """Lower case without separators (and spaces)."""
     return F.translate(F.lower(col(c)), SEPARATORS + (" " if spaces else ""), "")
@@ -71,10 +76,10 @@ def _weights(tokens: Column, preset: str) -> Column:
 
 def weighted_overlap(a: str | Column, b: str | Column, preset: str = "default") -> Column:
     """Weight of the shared tokens over the weight of all."""
-    a, b = F.array_distinct(col(a)), F.array_distinct(col(b))
-    shared = _weights(F.array_intersect(a, b), preset)
-    total = _weights(a, preset) + _weights(b, preset) - shared
-    return F.when(total > 0, shared / total).otherwise(F.lit(0.0))
+    lists = F.struct(F.array_distinct(col(a)).alias("a"), F.array_distinct(col(b)).alias("b"))
+    sums = bound(lists, lambda x: F.struct(_weights(x["a"], preset).alias("a"), _weights(x["b"], preset).alias("b"), _weights(F.array_intersect(x["a"], x["b"]), preset).alias("shared")))
+    share = lambda w: F.when(w["a"] + w["b"] - w["shared"] > 0, w["shared"] / (w["a"] + w["b"] - w["shared"])).otherwise(F.lit(0.0))
+    return bound(sums, share)
 
 
 def sufficient_overlap(a: str | Column, b: str | Column, least: int = 2, preset: str = "default") -> Column:
@@ -84,9 +89,12 @@ def sufficient_overlap(a: str | Column, b: str | Column, least: int = 2, preset:
 def match_quality(a: str | Column, b: str | Column, preset: str = "default") -> Column:
     """Struct of all that is said about two token lists: their significant tokens, what these share and how much of them that
     is, the weighted share of all tokens, the blocked and the weak tokens of both, and whether the overlap is sufficient."""
+    given = F.struct(col(a).alias("a"), col(b).alias("b"))
+    return bound(given, lambda x: bound(F.struct(significant(x["a"], preset).alias("a"), significant(x["b"], preset).alias("b")), lambda y: _quality(x["a"], x["b"], y["a"], y["b"], preset)))
+
+
+def _quality(a: Column, b: Column, sa: Column, sb: Column, preset: str) -> Column:
     p = PRESETS[preset]
-    a, b = col(a), col(b)
-    sa, sb = significant(a, preset), significant(b, preset)
     both = F.array_sort(F.array_distinct(F.array_intersect(sa, sb)))
     of = lambda tokens, words: F.filter(tokens, lambda t: t.isin(p[words]))
     return F.struct(

@@ -15,7 +15,7 @@ from ..operators import diff as D
 from ..operators import graph as G
 from ..operators import stitch as M
 from ..operators import store as R
-from ..shared import fresh_folder, saved
+from ..shared import fresh_folder, saved, spread
 from ..sources import files as S
 from .queries import query, score_sql
 from .views import table
@@ -74,7 +74,7 @@ def _values(words: list[str]) -> str:
 def _names(spark: SparkSession, d: str, words: list[str]) -> DataFrame:
     """(k, name): each part's key with each of the words, of which {k} is the key."""
     w = spark.createDataFrame([(x,) for x in words], "w string")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k")).join(F.broadcast(w)).select("k", F.replace("w", F.lit("{k}"), F.col("k").cast("string")).alias("name"))
+    return spread(table(spark, d, "part").select(F.col("p_partkey").alias("k"))).join(F.broadcast(w)).select("k", F.replace("w", F.lit("{k}"), F.col("k").cast("string")).alias("name"))
 
 
 def _names_sql(words: list[str]) -> str:
@@ -124,7 +124,7 @@ OVERLAPS = [("payment_db_host_{k}", "PAYMENT_DATABASE_HOST"), ("main_service_que
 def _overlap_names(spark, d):
     w = spark.createDataFrame(OVERLAPS, "a string, b string")
     k = F.col("p_partkey").cast("string")
-    return table(spark, d, "part").join(F.broadcast(w)).select(F.col("p_partkey").alias("k"), *(F.replace(c, F.lit("{k}"), k).alias(c) for c in ("a", "b")))
+    return spread(table(spark, d, "part").select("p_partkey")).join(F.broadcast(w)).select(F.col("p_partkey").alias("k"), *(F.replace(c, F.lit("{k}"), k).alias(c) for c in ("a", "b")))
 
 
 _OVERLAP_SQL = f"""WITH p AS (SELECT p_partkey AS k, replace(a, '{{k}}', p_partkey::VARCHAR) AS a, replace(b, '{{k}}', p_partkey::VARCHAR) AS b FROM part, (VALUES {", ".join(map(str, OVERLAPS))}) v(a, b)),
@@ -164,7 +164,8 @@ g AS (SELECT k, id, unnest([id, CASE WHEN contains(n, '.') AND split_part(n, '.'
   CASE WHEN regexp_matches(n, '_(ID|KEY|SECRET|TOKEN|URL|HOST|PORT|ARN|NAME)$') THEN p || ':*' || regexp_extract(n, '_[A-Z]+$') END, CASE WHEN contains(id, ':') THEN p || ':*' END]) AS pattern FROM i)
 SELECT DISTINCT k, id, pattern FROM g WHERE pattern IS NOT NULL""")
 def suggested_patterns(spark, d):
-    return _names(spark, d, IDS).select("k", F.col("name").alias("id"), F.explode(X.suggest_patterns("name")).alias("pattern")).distinct()
+    # equal rows go before they are multiplied; the patterns of one id are distinct
+    return _names(spark, d, IDS).distinct().select("k", F.col("name").alias("id"), F.explode(X.suggest_patterns("name")).alias("pattern"))
 
 
 @query(f"""SELECT k, name AS id, CASE WHEN name LIKE 'env:%' THEN 'env_var' WHEN name LIKE 'infra:%' OR name LIKE 'k8s:%' THEN 'infra_resource' WHEN name LIKE 'data:%' THEN 'data_asset' WHEN name LIKE 'job:%' THEN 'job' WHEN name LIKE 'file://%' THEN 'code_file' ELSE 'unknown' END AS type,
@@ -380,7 +381,7 @@ def directed_scores(spark, d):
     """Scores where the direction between the two kinds counts: one pair goes from a variable to infrastructure."""
     w = spark.createDataFrame([("payment_db_host_{k}", "PAYMENT_DB_HOST"), ("p_{k}", "P_{k}"), ("id", "ID_{k}"), ("main", "MAIN_DB"), ("redis_cluster_endpoint", "REDIS_URL"), ("none", "OTHER_{k}")], "s string, t string")
     k = F.col("p_partkey").cast("string")
-    rows = table(spark, d, "part").join(F.broadcast(w)).select(k.alias("k"), F.col("t").alias("right_id"), F.replace("s", F.lit("{k}"), k).alias("s"), F.replace("t", F.lit("{k}"), k).alias("t2"))
+    rows = spread(table(spark, d, "part").select("p_partkey")).join(F.broadcast(w)).select(k.alias("k"), F.col("t").alias("right_id"), F.replace("s", F.lit("{k}"), k).alias("s"), F.replace("t", F.lit("{k}"), k).alias("t2"))
     a, b = F.when(F.col("right_id") == "MAIN_DB", "env_var").otherwise("infra_resource"), F.when(F.col("right_id") == "MAIN_DB", "infra_resource").otherwise("env_var")
     return rows.select("k", "right_id", score("s", "t2", source_type=a, target_type=b)["score"].alias("score"))
 

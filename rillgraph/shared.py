@@ -65,6 +65,12 @@ def _at_exit() -> None:
             _MADE.clear()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores. A table of small rows is few scan tasks, whatever work each of its rows is."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def fresh(df: DataFrame) -> str:
     """A column name that df doesn't have."""
     return "_" * (1 + max((len(c) for c in df.columns), default=0))
