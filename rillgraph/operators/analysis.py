@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from ..functions.score import explanation, score
 from ..functions.text import checked_env_name, confidence, confidence_level, ignored_path, name_of, normal_path, tokenize
 from ..schema import EDGES, NODES
-from ..shared import known
+from ..shared import known, spread
 from .graph import impact_edges, reach, reached
 from .stitch import unsuppressed
 
@@ -83,7 +83,7 @@ def explain(pairs: DataFrame) -> DataFrame:
 def alternatives(nodes: DataFrame, source_id: str, target_type: str = "infra_resource", n: int = 5) -> DataFrame:
     """The n best-scoring nodes of a type for one id."""
     r = score(F.col("name"), name_of(F.lit(source_id)))
-    return nodes.filter((F.col("type") == target_type) & (F.col("id") != source_id)).select("id", "name", r["score"].alias("score")).filter("score > 0").orderBy(F.desc("score"), "id").limit(n)
+    return spread(nodes.filter((F.col("type") == target_type) & (F.col("id") != source_id)).select("id", "name")).select("id", "name", r["score"].alias("score")).filter("score > 0").orderBy(F.desc("score"), "id").limit(n)
 
 
 def why_not(source_id: str, target_id: str, spark, threshold: float = 0.5) -> DataFrame:
@@ -173,15 +173,32 @@ def providers_for_file(nodes: DataFrame, edges: DataFrame, path: str) -> DataFra
 def orphan_diagnostics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, name, hint): variables without provider and the output that shares most words with each; among equals the first
     by name; where none shares a word the first output of all."""
-    lone = missing_providers(nodes, edges).select("id", "name", F.array_distinct(tokenize("name")).alias("_t"))
-    outs = nodes.filter(F.col("id").startswith("infra:output:")).select(F.col("name").alias("hint"), F.array_distinct(tokenize("name")).alias("_o"))
-    pairs = lone.withColumn("_w", F.explode("_t")).join(outs.withColumn("_w", F.explode("_o")), "_w").groupBy("id", "hint").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy("id").orderBy(F.desc("_n"), "hint")
-    best = pairs.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("id", "hint")
+    words = lambda c: F.array_sort(F.array_distinct(tokenize(c)))
+    lone = missing_providers(nodes, edges).select("id", "name", words("name").alias("_t"))
+    outs = nodes.filter(F.col("id").startswith("infra:output:")).select(F.col("name").alias("hint"), words("name").alias("_o"))
+    # The most words shared are the most of a set of words that both have, so it is enough to know the first output by name that has each
+    # set of words, and no pair of names with a common word is made. Names of too many words for all their sets are paired by words.
+    few = lambda c: F.size(c) <= SET_WORDS
+    by_set = outs.filter(few("_o")).select("hint", F.explode(word_sets("_o")).alias("_s")).groupBy("_s").agg(F.min("hint").alias("hint"))
+    sets = lone.filter(few("_t")).select("id", F.explode(word_sets("_t")).alias("_s")).join(by_set, "_s").select("id", "hint", F.size("_s").cast("long").alias("_n"))
+    paired = lambda l, o: l.select("id", "_t").distinct().select("id", F.explode("_t").alias("_w")).join(o.distinct().select("hint", F.explode("_o").alias("_w")), "_w").groupBy("id", "hint").agg(F.count("*").alias("_n"))
+    pairs = sets.unionByName(paired(lone.filter(~few("_t")), outs)).unionByName(paired(lone.filter(few("_t")), outs.filter(~few("_o"))))
+    best = pairs.groupBy("id").agg(F.min(F.struct((-F.col("_n")).alias("n"), "hint")).alias("_b")).select("id", "_b.hint")
     first = outs.agg(F.min("hint")).first()[0]
     return lone.join(best, "id", "left").select("id", "name", F.coalesce("hint", F.lit(first).cast("string")).alias("hint"))
 
 
+#: Names of so many words have a row for each set of them, 63 at most.
+SET_WORDS = 6
+
+
+def word_sets(c: str) -> Column:
+    """All sets of some of the words of an array without repeats, each in the array's order."""
+    none = F.array(F.array().cast("array<string>"))
+    grown = F.aggregate(F.col(c), none, lambda got, w: F.concat(got, F.transform(got, lambda s: F.concat(s, F.array(w)))))
+    return F.filter(grown, lambda s: F.size(s) > 0)
+
+
 def accuracy(expected: DataFrame, found: DataFrame) -> DataFrame:
     """(parser, tp, fp, fn, precision, recall, f1) of expected and found(parser, case, item)."""
     keys = ["parser", "case", "item"]
