@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..shared import fresh_folder, removed
+from ..shared import fresh_folder, removed, spread
 from ..sources import column_lineage as L
 from ..sources import documents as D
 from ..sources import extract as E
@@ -27,7 +27,7 @@ def _files(df, path: str, text: str):
 
 
 def _parts(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("n"))
+    return spread(table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("n")))
 
 
 _PART = "(SELECT p_partkey AS k, upper(replace(p_name, ' ', '_')) AS n FROM part)"

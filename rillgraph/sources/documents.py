@@ -7,6 +7,7 @@ Every function returns (path, kind, a, b, c): kind 'node' with id, name, type or
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -145,6 +146,7 @@ def package_json(files: DataFrame) -> DataFrame:
 Emit = Iterator[tuple[str, str | None, str | None, str | None]]
 
 
+@functools.lru_cache(maxsize=1)  # the extractors of a file, one after the other, read it once; they change nothing in it
 def _loaded(text: str) -> list:
     import yaml
 

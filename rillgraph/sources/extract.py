@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..shared import saved
 from .column_lineage import split_arguments
 from .files import LANGUAGES, minified
 from .rules import RULES, SPARK_FILE, Rule
@@ -49,10 +50,14 @@ def hits(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     Which rules match a file at all is one cheap look each; only those are asked for places.
     """
     text = F.col("text")
-    spark = text.rlike(SPARK_FILE)
-    on = {k: F.col("path").rlike(LANGUAGES[k]) & (~minified() if k == "javascript" else F.lit(True)) for k in {r.language for r in rules}}
-    some = [F.when((on[r.language] & spark if r.check == "table" or r.scope == "spark-conf" else on[r.language]) & text.rlike(r.pattern), F.lit(i)) for i, r in enumerate(rules)]
-    asked = files.filter("path is not null and text is not null").select("path", "text", F.explode(F.array_compact(F.array(*some))).alias("rule"))
+    # what a file is, is found once and not for each rule
+    languages = sorted({r.language for r in rules})
+    is_ = {k: F.col("path").rlike(LANGUAGES[k]) for k in languages}
+    on = [(is_[k] & ~minified() if k == "javascript" else is_[k]).alias(f"_{k}") for k in languages]
+    files = files.filter("path is not null and text is not null").select("path", "text", *on, (F.col("path").rlike(LANGUAGES["python"]) & text.rlike(SPARK_FILE)).alias("_spark"))
+    where = lambda r: F.col("_spark" if r.check == "table" or r.scope == "spark-conf" else f"_{r.language}")
+    some = [F.when(where(r) & text.rlike(r.pattern), F.lit(i)) for i, r in enumerate(rules)]
+    asked = files.select("path", "text", F.explode(F.array_compact(F.array(*some))).alias("rule"))
     rows = asked.select("path", "rule", F.explode(found(text, _by_rule(rules, lambda r: r.pattern))).alias("h")).select("path", "rule", "h.name", "h.line")
     # a list in code: of quoted imports, or of words, where of 'a: b' and 'a = b' the first counts; other names lose quotes
     words = F.when(_among(rules, lambda r: r.several and r.language == "go"), F.regexp_extract_all("name", F.lit('"([^"]+)"'), F.lit(1))).when(
@@ -71,7 +76,7 @@ def _by_rule(rules: list[Rule], value) -> Column:
 
 def graph(files: DataFrame, rules: list[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the files: file nodes, what the rules found, and pydantic settings, dotenv and Terraform references."""
-    h = hits(files, rules)
+    h = saved(hits(files, rules))  # nodes and edges both come of it
     prefix = F.replace(_by_rule(rules, lambda r: r.prefix), F.lit("{path}"), F.col("path"))
     label = F.when(_among(rules, lambda r: r.name in ("tf_resource", "tf_data")), F.substring_index("name", ".", -1)).otherwise(F.col("name"))
     ids = h.select("path", "line", label.alias("name"), F.concat(prefix, "name").alias("id"), _by_rule(rules, lambda r: r.kind).alias("type"), _by_rule(rules, lambda r: r.edge).alias("edge"), _by_rule(rules, lambda r: r.confidence).alias("confidence"), _by_rule(rules, lambda r: r.name).alias("source"))
