@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import blast_bucket, lineage_bucket
 from ..schema import EDGE_KEY, EDGES, NODES, POLICIES
-from ..shared import fresh, known, saved
+from ..shared import fresh, known, parts, saved
 
 
 SMALL = 100_000
@@ -301,12 +301,15 @@ def on_cycle(pairs: DataFrame) -> DataFrame:
     return loops.union(hit).union(direct).distinct()
 
 
-def endpoints(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-
-
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.join(endpoints(edges), "id", "left_anti")
+    """Nodes that are no edge's end.
+
+    An outer join: the optimiser would repeat an anti-join for each table that nodes is a union of, with all ends each time. Both
+    sides are cut by their size, so that a task's share of the ends doesn't grow with them."""
+    n, lone = parts(nodes, edges), fresh(nodes)
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).filter("id is not null")
+    ends = ends.repartition(n, "id").distinct().withColumn(lone, F.lit(True))
+    return nodes.repartition(n, "id").join(ends, "id", "left").filter(F.col(lone).isNull()).select(*nodes.columns)
 
 
 def hydrate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -375,7 +378,7 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     by_edge = edges.groupBy(F.lit("edges_by_type").alias("metric"), F.col("type").alias("key")).agg(F.count("*").alias("value"))
     none = F.lit(None).cast("string").alias("key")
     total = nodes.agg(F.count("*").alias("value")).select(F.lit("nodes").alias("metric"), none, "value")
-    total_edges = edges.agg(F.count("*").alias("value")).select(F.lit("edges").alias("metric"), none, "value")
+    total_edges = by_edge.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("value")).select(F.lit("edges").alias("metric"), none, "value")
     lone = orphans(nodes, edges).agg(F.count("*").alias("value")).select(F.lit("orphans").alias("metric"), none, "value")
     return by_type.unionByName(by_edge).unionByName(total).unionByName(total_edges).unionByName(lone)
 

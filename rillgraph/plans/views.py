@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokenize
+from ..shared import parts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,14 +25,17 @@ def g_edges(spark: SparkSession, d: str) -> DataFrame:
     def e(df, a, b, kind):
         return df.select(a.alias("source_id"), b.alias("target_id"), F.lit(kind).alias("type"))
 
-    line = t("lineitem")
+    def lines(*keys):  # nearly all distinct, so they are shuffled as they are
+        df = t("lineitem").select(*keys)
+        return df.repartition(parts(df), *keys).distinct()
+
     rows = [
         e(t("nation"), _id("nation", "n_nationkey"), _id("region", "n_regionkey"), "depends_on"),
         e(t("customer"), _id("customer", "c_custkey"), _id("nation", "c_nationkey"), "depends_on"),
         e(t("supplier"), _id("supplier", "s_suppkey"), _id("nation", "s_nationkey"), "depends_on"),
         e(t("orders"), _id("order", "o_orderkey"), _id("customer", "o_custkey"), "reads"),
-        e(line.select("l_suppkey", "l_partkey").distinct(), _id("supplier", "l_suppkey"), _id("part", "l_partkey"), "provides"),
-        e(line.select("l_partkey", "l_orderkey").distinct(), _id("part", "l_partkey"), _id("order", "l_orderkey"), "provides"),
+        e(lines("l_suppkey", "l_partkey"), _id("supplier", "l_suppkey"), _id("part", "l_partkey"), "provides"),
+        e(lines("l_partkey", "l_orderkey"), _id("part", "l_partkey"), _id("order", "l_orderkey"), "provides"),
     ]
     out = rows[0]
     for r in rows[1:]:

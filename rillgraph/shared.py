@@ -71,6 +71,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def parts(*dfs: DataFrame, each: int = 2 << 20) -> int:
+    """How many partitions a shuffle of dfs needs for a task's memory to stay the same as they grow: by the bytes the optimiser
+    expects (a table's files, for columns that are read), the session's number at least, and that number where it expects nothing sensible."""
+    least = int(dfs[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = sum(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in dfs)
+    return least if size > 1 << 42 else max(least, min(100 * least, size // each))
+
+
 def fresh(df: DataFrame) -> str:
     """A column name that df doesn't have."""
     return "_" * (1 + max((len(c) for c in df.columns), default=0))

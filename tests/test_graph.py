@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from rillgraph.operators import graph as G
 
 E = "source_id string, target_id string, type string"
@@ -139,3 +141,27 @@ def test_levels_have_a_row_for_a_block_of_seeds(spark, monkeypatch):
     assert got == {(f"s{i}", n, d) for i in range(70) for n, d in depths.items() if n != f"s{i}"}
     assert sum(rows) < 400
     assert {x.seed: x["count"] for x in G.reach(G.impact_edges(e, "untyped"), every).collect()} == {f"s{i}": 42 - (i == 63) for i in range(70)}
+
+
+def test_orphans_of_a_union_read_the_edges_once(spark):
+    """An anti-join would be repeated for each table of the union, all ends each time."""
+    some = lambda *ids: spark.createDataFrame([(i, "x") for i in ids], "id string, type string")
+    n = some("a", "b").unionByName(some("c", "c")).unionByName(some("d", None))
+    e = edges(spark, [("a", "b", "reads"), (None, "d", "reads"), ("d", "d", "calls")])
+    lone = G.orphans(n, e)
+    assert lone._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert sorted(str(x.id) for x in lone.collect()) == ["None", "c", "c"] and lone.columns == ["id", "type"]
+    got = {(x.metric, x.key): x.value for x in G.stats(n, e).collect()}
+    assert got == {("nodes_by_type", "x"): 6, ("edges_by_type", "reads"): 2, ("edges_by_type", "calls"): 1, ("nodes", None): 6, ("edges", None): 3, ("orphans", None): 3}
+
+
+def test_large_tables_have_more_partitions(spark):
+    """A task's share of the ends of edges doesn't grow with the tables."""
+    big = spark.range(10**7)
+    n = big.select(F.col("id").cast("string").alias("id"))
+    e = big.select(F.col("id").cast("string").alias("source_id"), F.col("id").cast("string").alias("target_id"), F.lit("reads").alias("type"))
+    from rillgraph.shared import parts
+
+    assert parts(edges(spark, [("a", "b", "reads")])) == 4 < parts(n) < parts(n, e) <= 400
+    plan = G.orphans(n, e)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f", {parts(n, e)}") == 2, plan
