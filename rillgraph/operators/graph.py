@@ -270,15 +270,18 @@ def cycles(pairs: DataFrame, max_length: int = 5) -> DataFrame:
 
     Self-loops are cycles of length 1.
     """
-    pairs = saved(pairs.select("u", "v").distinct())
+    pairs = saved(pairs.select("u", "v").repartition(parts(pairs), "u", "v").distinct())
     loops = pairs.filter("u = v").select(F.array("u").alias("cycle"))
     pairs = pairs.filter("u <> v")
+    n_parts = parts(pairs)
+    closing = pairs.repartition(n_parts, "u", "v")
     paths = pairs.filter("u < v").select(F.array("u", "v").alias("path"))
     found = [loops]
     for n in range(2, max_length + 1):
         paths = saved(paths)
         last, first = F.element_at("path", -1), F.element_at("path", 1)
-        found.append(paths.join(pairs, (last == F.col("u")) & (first == F.col("v")), "left_semi").select(F.col("path").alias("cycle")))
+        ends = paths.select("path", last.alias("_last"), first.alias("_first")).repartition(n_parts, "_last", "_first")
+        found.append(ends.join(closing, (F.col("_last") == F.col("u")) & (F.col("_first") == F.col("v")), "left_semi").select(F.col("path").alias("cycle")))
         if n < max_length:  # only nodes above the first may follow, so each cycle is found at its smallest node
             paths = paths.join(pairs, last == F.col("u")).filter((F.col("v") > first) & ~F.expr("array_contains(path, v)")).select(F.concat("path", F.array("v")).alias("path"))
     return functools.reduce(DataFrame.unionByName, found).select("cycle", F.size("cycle").alias("length"))
@@ -415,7 +418,7 @@ def files_of(nodes: DataFrame) -> DataFrame:
 def lint(nodes: DataFrame, edges: DataFrame, max_length: int = 5) -> DataFrame:
     """(issue, subject) of orphans and short cycles."""
     lone = orphans(nodes, edges).select(F.lit("orphan").alias("issue"), F.col("id").alias("subject"))
-    loops = cycles(impact_edges(edges, "untyped"), max_length).select(F.lit("cycle").alias("issue"), F.array_join("cycle", " > ").alias("subject"))
+    loops = cycles(impact_edges(edges, "untyped", distinct=False), max_length).select(F.lit("cycle").alias("issue"), F.array_join("cycle", " > ").alias("subject"))
     return lone.unionByName(loops)
 
 

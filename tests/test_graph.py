@@ -165,3 +165,13 @@ def test_large_tables_have_more_partitions(spark):
     assert parts(edges(spark, [("a", "b", "reads")])) == 4 < parts(n) < parts(n, e) <= 400
     plan = G.orphans(n, e)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(f", {parts(n, e)}") == 2, plan
+
+
+def test_lint_makes_edges_distinct_once(spark, monkeypatch):
+    """The edges are shuffled once to make them distinct, and cut by their size where cycles are closed."""
+    plans, write = [], G.saved
+    monkeypatch.setattr(G, "saved", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df))[1])
+    e = edges(spark, [("a", "b", "reads"), ("a", "b", "calls"), ("b", "c", "reads"), ("c", "a", "reads"), ("c", "b", "reads"), (None, "a", "reads")])
+    n = spark.createDataFrame([("a",), ("z",)], "id string")
+    assert sorted((x.issue, x.subject) for x in G.lint(n, e).collect()) == [("cycle", "a > b > c"), ("cycle", "b > c"), ("orphan", "z")]
+    assert plans[0].count("Aggregate [") == 1 and "RepartitionByExpression" in plans[0], plans[0]
