@@ -226,27 +226,33 @@ def blast_breakdown(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def shortest_paths(pairs: DataFrame, seeds: DataFrame, target: str, max_depth: int = 15) -> DataFrame:
     """(seed, path): for each seed that reaches target one shortest path; ties go to the smallest parent at each step.
 
-    Levels hold each node's parent only; the paths of the seeds that got there are put together backwards at the end.
+    The levels go back from target, so a node has one row, however many seeds there are. Of equally short paths the smallest counts,
+    read from target: nodes of a level are numbered in the order of theirs (the next node's number, then the id), and a node's next
+    is the successor with the smallest number. The seeds' paths are put together from these numbers at the end.
     """
-    pairs = kept(pairs)
-    frontier = saved(seeds.select("seed").filter("seed is not null").distinct().select("seed", F.col("seed").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")))
-    levels = [frontier]
+    spark, n = pairs.sparkSession, parts(pairs)
+    pairs = pairs.select("u", "v").filter("u is not null").repartition(n, "v").persist()
+    levels = [spark.range(1).select(F.lit(target).alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("next"), F.lit(0).cast("long").alias("n"))]
     for depth in range(1, max_depth + 1):
-        step = frontier.filter(F.col("node") != target).join(pairs, F.col("node") == F.col("u")).select("seed", F.col("v").alias("node"), F.col("u").alias("parent"), F.lit(depth).alias("depth"))
-        both = functools.reduce(DataFrame.unionByName, levels).unionByName(step).groupBy("seed", "node").agg(F.min(F.struct("depth", "parent")).alias("m"))
-        frontier = saved(both.filter(F.col("m.depth") == depth).select("seed", "node", "m.parent", "m.depth"))
-        if frontier.isEmpty():
+        frontier = levels[-1].select(F.col("node").alias("v"), "n").hint("shuffle_hash")  # so the kept edges needn't be sorted
+        step = pairs.join(frontier, "v").select(F.col("u").alias("node"), F.col("n").alias("next"), F.lit(False).alias("had"))
+        seen = functools.reduce(DataFrame.unionByName, levels).select("node", F.lit(None).cast("long").alias("next"), F.lit(True).alias("had"))
+        new = saved(step.unionByName(seen).groupBy("node").agg(F.min("next").alias("next"), F.max("had").alias("had")).filter("not had").drop("had"))
+        rows = new.count()
+        if rows == 0:
             break
-        levels.append(frontier)
+        ordered = new.repartitionByRange(1 + rows // 500_000, "next", "node").sortWithinPartitions("next", "node")
+        levels.append(saved(ordered.select("node", F.lit(depth).alias("depth"), "next", F.monotonically_increasing_id().alias("n"))))
     pairs.unpersist()
+    wanted = seeds.select("seed").filter("seed is not null")
+    wanted = wanted.repartition(parts(wanted), "seed").distinct()
+    found = saved(functools.reduce(DataFrame.unionByName, levels).join(wanted, F.col("node") == F.col("seed")).select("seed", "depth", "next"))
     path: DataFrame | None = None
     for depth in range(len(levels) - 1, -1, -1):
-        level = levels[depth]
         if path is not None:
-            back = path.join(level.select("seed", F.col("node").alias("_at"), "parent"), ["seed", "_at"])
-            path = back.select("seed", F.concat(F.array("_at"), "path").alias("path"), F.col("parent").alias("_at"))
-        ends = level.filter(F.col("node") == target).select("seed", F.array("node").alias("path"), F.col("parent").alias("_at"))
-        path = ends if path is None else path.unionByName(ends)
+            path = path.join(levels[depth].select(F.col("n").alias("next"), "node", F.col("next").alias("_next")), "next").select("seed", F.concat("path", F.array("node")).alias("path"), F.col("_next").alias("next"))
+        begun = found.filter(F.col("depth") == depth).select("seed", F.array("seed").alias("path"), "next")
+        path = begun if path is None else path.unionByName(begun)
     return path.select("seed", "path")
 
 

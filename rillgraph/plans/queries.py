@@ -138,7 +138,7 @@ FROM s JOIN customer ON c = 'customer:' || c_custkey JOIN nation ON n_nationkey
 )
 def shortest_paths(spark, d):
     """From every order to region 1 along edges as they point."""
-    got = G.shortest_paths(G.impact_edges(V.g_edges(spark, d), "untyped"), _seeds(spark, d, "order"), "region:1")
+    got = G.shortest_paths(G.impact_edges(V.g_edges(spark, d, distinct=False), "untyped", distinct=False), _seeds(spark, d, "order"), "region:1")
     return got.select("seed", F.array_join("path", ">").alias("path"))
 
 

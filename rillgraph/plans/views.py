@@ -18,8 +18,9 @@ def _id(prefix: str, c: str):
     return F.concat(F.lit(prefix + ":"), F.col(c))
 
 
-def g_edges(spark: SparkSession, d: str) -> DataFrame:
-    """source_id, target_id, type, confidence of customers, suppliers, parts and orders; acyclic."""
+def g_edges(spark: SparkSession, d: str, distinct: bool = True) -> DataFrame:
+    """source_id, target_id, type, confidence of customers, suppliers, parts and orders; acyclic. Edges of several lines are
+    repeated unless distinct, for operators to which equal edges don't matter."""
     t = lambda n: table(spark, d, n)
 
     def e(df, a, b, kind):
@@ -27,7 +28,7 @@ def g_edges(spark: SparkSession, d: str) -> DataFrame:
 
     def lines(*keys):  # nearly all distinct, so they are shuffled as they are
         df = t("lineitem").select(*keys)
-        return df.repartition(parts(df), *keys).distinct()
+        return df.repartition(parts(df), *keys).distinct() if distinct else df
 
     rows = [
         e(t("nation"), _id("nation", "n_nationkey"), _id("region", "n_regionkey"), "depends_on"),

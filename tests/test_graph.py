@@ -1,3 +1,6 @@
+import itertools
+import random
+
 from pyspark.sql import functions as F
 
 from rillgraph.operators import graph as G
@@ -175,3 +178,32 @@ def test_lint_makes_edges_distinct_once(spark, monkeypatch):
     n = spark.createDataFrame([("a",), ("z",)], "id string")
     assert sorted((x.issue, x.subject) for x in G.lint(n, e).collect()) == [("cycle", "a > b > c"), ("cycle", "b > c"), ("orphan", "z")]
     assert plans[0].count("Aggregate [") == 1 and "RepartitionByExpression" in plans[0], plans[0]
+
+
+def test_shortest_paths_have_a_row_for_a_node(spark, monkeypatch):
+    """40 seeds that share a chain of 10 nodes: a row for each node, not one for each seed and node."""
+    rows, write = [], G.saved
+    monkeypatch.setattr(G, "saved", lambda df: (out := write(df), rows.append(out.count()))[0])
+    p = spark.createDataFrame([(f"s{i}", "c0") for i in range(40)] + [(f"c{i}", f"c{i + 1}") for i in range(9)], "u string, v string")
+    got = {x.seed: x.path for x in G.shortest_paths(p, seeds(spark, *(f"s{i}" for i in range(40))), "c9").collect()}
+    assert got == {f"s{i}": [f"s{i}", *(f"c{k}" for k in range(10))] for i in range(40)}
+    assert sum(rows) < 3 * 50
+
+
+def test_ties_of_shortest_paths_go_to_the_smallest_parent(spark):
+    """Against all shortest paths: of those the least, read from the target."""
+    names = [f"n{i}" for i in range(14)]
+    draw = random.Random(4)
+    pairs = sorted({(draw.choice(names), draw.choice(names)) for _ in range(40)})
+    after = {u: [v for _, v in g] for u, g in itertools.groupby(pairs, lambda x: x[0])}
+    tied = 0
+    for most in (15, 2):
+        want = {}
+        for s in names:
+            paths = [[s]]
+            while paths and s not in want and len(paths[0]) <= most + 1:
+                if done := [x[::-1] for x in paths if x[-1] == "n3"]:
+                    want[s], tied = min(done)[::-1], tied + (len(done) > 1)
+                paths = [[*x, v] for x in paths for v in after.get(x[-1], []) if v not in x]
+        got = {x.seed: x.path for x in G.shortest_paths(spark.createDataFrame(pairs, "u string, v string"), seeds(spark, *names, None, "n1"), "n3", most).collect()}
+        assert got == want and len(want) > 3 and tied
